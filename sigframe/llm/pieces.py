@@ -34,8 +34,8 @@ from sigframe.llm.common import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Parts longer than this aren't kept; and so many are kept at once.
-KEEP_CHARS, KEEP_PARTS = 40, 200_000
+#: Parts longer than this aren't kept; so many are kept in each of two generations.
+KEEP_CHARS, KEEP_PARTS = 40, 300_000
 _PART = re.compile(" *[^ ]+| +")
 
 
@@ -99,6 +99,7 @@ class PieceAutomaton:
             self.ends[at] = tuple(got)
         self.unknown = min(vocabulary["scores"], default=0.0) - 10
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self._tables()
 
     def _tables(self) -> None:
@@ -125,43 +126,54 @@ class PieceAutomaton:
 
     def _together(self, parts: list[str], raw: list[bytes]) -> None:
         """Keeps the paths of `parts`, whose Latin-1 bytes are `raw`, after one pass over all at once."""
-        order = sorted(range(len(raw)), key=lambda k: -len(raw[k]))
-        sizes = np.array([len(raw[k]) for k in order], np.int64)
-        longest, n = int(sizes[0]), len(order)
-        codes = np.frombuffer(b"".join(raw[k].ljust(longest) for k in order), np.uint8).reshape(n, longest).T.copy()
+        n = len(raw)
+        size_of = np.fromiter(map(len, raw), np.int64, n)
+        order = np.argsort(-size_of, kind="stable")
+        starts = (np.cumsum(size_of) - size_of)[order]
+        flat, sizes = np.frombuffer(b"".join(raw), np.uint8), size_of[order]
+        longest = int(sizes[0])
+        active_at = np.searchsorted(-sizes, -np.arange(longest), "left").tolist()  # those longer than t
         best = np.zeros((longest + 1, n))
-        via_size = np.ones((longest, n), np.int64)
+        via_size = np.ones((longest, n), np.int8)
         via_id = np.empty((longest, n), np.int32)
-        state, lanes = np.zeros(n, np.int32), np.arange(n)
-        for t in range(longest):
-            active = int(np.searchsorted(-sizes, -t, "left"))  # those longer than t
-            now = state[:active] = self.step[state[:active], codes[t, :active]]
-            top, size, piece = best[t, :active] + self.unknown, via_size[t, :active], self.a_byte[codes[t, :active]]
-            at = self.a_first[now]
-            lane = lanes[:active]
+        state, lanes = np.zeros(n, np.int64), np.arange(n)
+        step, flat_best = self.step.reshape(-1), best.reshape(-1)
+        for t, active in enumerate(active_at):
+            codes = flat[starts[:active] + t]
+            now = step[(state[:active] << 8) + codes]
+            state[:active] = now
+            top, size, piece = best[t, :active] + self.unknown, via_size[t, :active], self.a_byte[codes]
+            at, lane = self.a_first[now], lanes[:active]
             while True:
-                some = at > 0
-                if not some.any():
+                some = np.flatnonzero(at)
+                if not len(some):
                     break
-                if not some.all():
+                if len(some) < len(at):
                     lane, at = lane[some], at[some]
                 length = self.a_length[at]
-                s = best[t + 1 - length, lane] + self.a_score[at]
-                better = s > top[lane]
-                to = lane[better]
-                top[to], size[to], piece[to] = s[better], length[better], self.a_piece[at[better]]
+                s = flat_best[(t + 1 - length) * n + lane] + self.a_score[at]
+                better = np.flatnonzero(s > top[lane])
+                to, via = lane[better], at[better]
+                top[to], size[to], piece[to] = s[better], length[better], self.a_piece[via]
                 at = self.a_out[at]
             best[t + 1, :active], via_id[t, :active] = top, piece
         left, steps = sizes.copy(), []
-        while (live := left > 0).any():
-            end = np.maximum(left - 1, 0)
-            steps.append(np.where(live, via_id[end, lanes], -2))
-            left -= np.where(live, via_size[end, lanes], 0)
-        path = np.array(steps[::-1], np.int32).T.copy()
-        first = (path == -2).sum(axis=1)
-        odd = (path == -1).any(axis=1)
-        for k, at, bad, row in zip(order, first.tolist(), odd.tolist(), path, strict=True):
-            self.kept[parts[k]] = self._part(parts[k]) if bad else row[at:].tobytes()
+        while active := int(np.count_nonzero(left)):
+            live = lanes[:active] if active == n else np.flatnonzero(left)
+            end = left[live] - 1
+            row = np.full(n, -2, np.int32)
+            row[live] = via_id[end, live]
+            steps.append(row)
+            left[live] -= via_size[end, live]
+        path = np.array(steps[::-1]).T
+        there = path != -2
+        ends = np.cumsum(there.sum(axis=1) * 4).tolist()
+        ids = path[there].tobytes()
+        odd = set(np.flatnonzero((path == -1).any(axis=1)).tolist())
+        at = 0
+        for k, (i, end) in enumerate(zip(order.tolist(), ends, strict=True)):
+            self.kept[parts[i]] = self._part(parts[i]) if k in odd else ids[at:end]
+            at = end
 
     def viterbi(self, part: str) -> list[int]:
         """Ids of the best path. `part` has the mark for spaces; a mark of its own is \\x00 + mark."""
@@ -202,37 +214,31 @@ class PieceAutomaton:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text, with a space put before it as the model does; of an empty text, none."""
-        if not text:
-            return np.zeros(0, np.int32)
-        kept, got = self.kept, []
-        for part in _PART.findall(f" {text}"):
-            ids = kept.get(part)
-            if ids is None:
-                ids = self._part(part)
-                if len(part) <= KEEP_CHARS:
-                    if len(kept) >= KEEP_PARTS:
-                        kept.clear()
-                    kept[part] = ids
-            got.append(ids)
-        return np.frombuffer(b"".join(got), np.int32)
+        return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """`encode` of each text; parts that are new to this worker go through the automaton together."""
         split = [_PART.findall(f" {x}") if x else [] for x in texts]
-        kept = self.kept
-        if len(kept) > KEEP_PARTS:
-            kept.clear()
-        new = {p for parts in split for p in parts if p not in kept and len(p) <= KEEP_CHARS}
+        if len(self.kept) > KEEP_PARTS:
+            self.older, self.kept = self.kept, {}
+        kept, older = self.kept, self.older
+        found = [list(map(kept.get, parts)) for parts in split]
+        new = {p for parts, ids in zip(split, found, strict=True) for p, x in zip(parts, ids, strict=True) if x is None}
         plain, raw = [], []
         for p in new:
-            try:
-                raw.append(p.encode("latin-1"))
+            if (x := older.get(p)) is not None:
+                kept[p] = x
+            elif len(p) <= KEEP_CHARS and (x := p.encode("latin-1", "ignore")) and len(x) == len(p):
+                raw.append(x)
                 plain.append(p)
-            except UnicodeEncodeError:
+            else:
                 kept[p] = self._part(p)
         for at in range(0, len(plain), 20_000):
             self._together(plain[at : at + 20_000], raw[at : at + 20_000])
-        return [np.frombuffer(b"".join([kept.get(p) or self._part(p) for p in parts]), np.int32) for parts in split]
+        out = [np.frombuffer(b"".join([kept[p] if x is None else x for p, x in zip(parts, ids, strict=True)]), np.int32) for parts, ids in zip(split, found, strict=True)]
+        for p in [p for p in new if len(p) > KEEP_CHARS]:
+            del kept[p]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text that was encoded."""
