@@ -5,17 +5,42 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sigframe.llm import chat, pieces
+from sigframe.llm import chat, cws, linkgraph, mixing, pieces, pii
 from sigframe.llm.common import table
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixes all documents to targets by weights 5, 2, 1, each at most three times its source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    sized = docs.select("doc_id", mixing.word_count("text").alias("size"), F.array("source").alias("sources"))
+    return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges every page by the rules, else by trust and distrust over host links."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return linkgraph.judge_pages(pages).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
+def op5_weighted_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, its edited text, and the likeness of both and of its next one."""
+    return cws.fingerprint_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formats all conversations and conversation -1; digests are read back from the output."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.read_back(chat.format_conversations(rows.unionByName(chat.planted_conversation(spark))))
 
 
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal numbers and dates permuted within their formats."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise_texts(docs).select("doc_id", F.size("pii_kinds").alias("n_values"), "pii_kinds", "text")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every whole text; exact: decoding the pieces gave the text back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -23,7 +48,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_source_mix": op2_source_mix,
+    "op3_url_filter": op3_url_filter,
+    "op5_weighted_fingerprint": op5_weighted_fingerprint,
     "op6_chat_format": op6_chat_format,
+    "op8_pseudonyms": op8_pseudonyms,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
