@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigframe.llm import chat, cws, linkgraph, mixing, pieces, pii
+from sigframe.llm import chat, cws, linkgraph, mixing, pieces, pii, simhash
 from sigframe.llm.common import table
 
 
@@ -41,6 +41,12 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise_texts(docs).select("doc_id", F.size("pii_kinds").alias("n_values"), "pii_kinds", "text")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64-bit fingerprints of 3-word shingles, linked at 3 or fewer differing bits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every whole text; exact: decoding the pieces gave the text back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -53,6 +59,7 @@ QUERIES = {
     "op5_weighted_fingerprint": op5_weighted_fingerprint,
     "op6_chat_format": op6_chat_format,
     "op8_pseudonyms": op8_pseudonyms,
+    "op9_simhash": op9_simhash,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
