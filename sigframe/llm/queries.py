@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigframe.llm import chat, cws, linkgraph, mixing, pieces, pii, simhash
+from sigframe.llm import chat, cws, linkgraph, mixing, pieces, pii, simhash, toxicity
 from sigframe.llm.common import table
 
 
@@ -24,6 +24,14 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkgraph.judge_pages(pages).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every whole text; learns from labels outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "toxic_tokens", "toxic_spans")
+
+
 def op5_weighted_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, its edited text, and the likeness of both and of its next one."""
     return cws.fingerprint_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -56,6 +64,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_source_mix": op2_source_mix,
     "op3_url_filter": op3_url_filter,
+    "op4_toxicity": op4_toxicity,
     "op5_weighted_fingerprint": op5_weighted_fingerprint,
     "op6_chat_format": op6_chat_format,
     "op8_pseudonyms": op8_pseudonyms,
