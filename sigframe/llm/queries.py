@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigframe.llm import chat, cws, linkgraph, mixing, pieces, pii, simhash, toxicity
+from sigframe.llm import chat, cws, linkgraph, mixing, pieces, pii, repeats, simhash, toxicity
 from sigframe.llm.common import table
 
 
@@ -43,6 +43,12 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(chat.planted_conversation(spark))))
 
 
+def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text without the bytes of 200-byte strings that start anywhere else too."""
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal numbers and dates permuted within their formats."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -67,6 +73,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_weighted_fingerprint": op5_weighted_fingerprint,
     "op6_chat_format": op6_chat_format,
+    "op7_repeated_bytes": op7_repeated_bytes,
     "op8_pseudonyms": op8_pseudonyms,
     "op9_simhash": op9_simhash,
     "op10_sentencepiece": op10_sentencepiece,
