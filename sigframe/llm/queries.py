@@ -7,10 +7,17 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigframe.llm import chat, cws, linkgraph, mixing, pieces, pii, repeats, simhash, toxicity
+from sigframe.llm import chat, chroma, cws, linkgraph, mixing, pieces, pii, repeats, simhash, toxicity
 from sigframe.llm.common import table
 
 
+def op1_chroma_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and aligns every document's bytes as a recording of 8-bit samples."""
+    docs = table(spark, sf_dir, "documents")
+    heard = docs.select(F.col("doc_id").alias("id"), F.encode(F.col("text"), "UTF-8").alias("audio"))
+    return chroma.align(heard).withColumnRenamed("id", "doc_id")
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixes all documents to targets by weights 5, 2, 1, each at most three times its source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -68,6 +75,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chroma_align": op1_chroma_align,
     "op2_source_mix": op2_source_mix,
     "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,
