@@ -36,8 +36,8 @@ def recency_weight(age_days: Column, half_life: float, max_age: float) -> Column
 
 
 def age_days(ts: Column, now: Column) -> Column:
-    """Days between timestamps, at least 0."""
-    return F.greatest((F.unix_micros(now) - F.unix_micros(ts)) / 86_400_000_000.0, F.lit(0.0))
+    """Days between timestamps, at least 0; null for an unknown one."""
+    return F.when(ts.isNotNull() & now.isNotNull(), F.greatest((F.unix_micros(now) - F.unix_micros(ts)) / 86_400_000_000.0, F.lit(0.0)))
 
 
 def parse_timestamp(text: Column) -> Column:

@@ -58,6 +58,7 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, schema: T.StructType
     try:
         _with_month(new.select(*schema.fieldNames())).write.parquet(f"{stage}/new")
         new = spark.read.parquet(f"{stage}/new")
+        sizes = rows.count(), new.count()  # before the swap: rows may come from the archive itself
         months = [r[0] for r in new.select("month").distinct().collect()]  # as many as the rows have months
         old = read_rows(spark, path, schema, months).select(*schema.fieldNames(), "month")
         merged = old.join(new.select(*KEY), KEY, "left_anti").unionByName(new.select(*schema.fieldNames(), "month"))
@@ -69,7 +70,7 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, schema: T.StructType
             elif not files.exists(spark, path):
                 files._fs(spark, path)[0].mkdirs(files._fs(spark, path)[1])
             files.rename(spark, f"{stage}/out/month={m}", target)
-        return rows.count(), new.count()
+        return sizes
     finally:
         files.remove(spark, stage)
 
