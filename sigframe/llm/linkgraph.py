@@ -4,7 +4,8 @@ A rule is a host and the start of a path; it fits the host and its subdomains. O
 fit a url the longest wins. Urls without a rule are judged by their host: personalised PageRank
 spreads trust from hosts of allowed pages along links, and distrust spreads from hosts of blocked
 pages against them (who links to a blocked host is suspect). A host is blocked where its distrust
-is above `ratio` times its trust.
+is above `ratio` times its trust and at least `share` of the mean of all hosts that have any; what
+trickles through a domain with thousands of subdomains stays below that.
 
 Edges between hosts: absolute links in the pages' html, and a host and its parent domain (the name
 without its first label, down to two labels) in both directions, because a parent answers for its
@@ -26,7 +27,7 @@ from sigframe.llm.common import Cuts
 
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-DAMPING, ROUNDS, RATIO = 0.85, 10, 1.0
+DAMPING, ROUNDS, RATIO, SHARE = 0.85, 10, 1.0, 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -81,7 +82,7 @@ def spread(edges: DataFrame, seeds: DataFrame, cuts: Cuts, rounds: int = ROUNDS,
     return scores
 
 
-def judge_pages(pages: DataFrame, rules: tuple = RULES, ratio: float = RATIO, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def judge_pages(pages: DataFrame, rules: tuple = RULES, ratio: float = RATIO, share: float = SHARE, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every row of pages (page_id, url, html)."""
     cuts = Cuts(pages.sparkSession, "linkgraph")
     placed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
@@ -94,7 +95,8 @@ def judge_pages(pages: DataFrame, rules: tuple = RULES, ratio: float = RATIO, ro
     trust = spread(edges, allowed, cuts, rounds, damping)
     distrust = spread(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), blocked, cuts, rounds, damping)
     hosts = trust.select("host", F.col("score").alias("trust"), F.lit(0.0).alias("distrust")).union(distrust.select("host", F.lit(0.0), "score"))
-    hosts = hosts.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+    hosts = cuts.write(hosts.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
+    least = share * (hosts.where("distrust > 0").agg(F.avg("distrust")).first()[0] or 0.0)
     judged = ruled.drop("html").join(hosts, "host", "left").fillna(0.0, ["trust", "distrust"])
-    verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow"))
+    verdict = F.coalesce(F.col("found.verdict"), F.when((F.col("distrust") > ratio * F.col("trust")) & (F.col("distrust") >= least), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "trust", "distrust")
