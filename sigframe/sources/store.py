@@ -109,6 +109,12 @@ def load_features(spark: SparkSession, base: str) -> DataFrame:
     return rows
 
 
+def has_snapshot(spark: SparkSession, base: str, date) -> bool:
+    """Whether a date was collected already; reads its month alone."""
+    rows = read_rows(spark, f"{base}/features", SNAPSHOT, [str(date)[:7]])
+    return not rows.where(F.col("date") == F.lit(date).cast("date")).isEmpty()
+
+
 def migrate_legacy(spark: SparkSession, base: str) -> int:
     """Folds the legacy file into the partitions, which win, and renames it."""
     legacy = f"{base}/features.jsonl"

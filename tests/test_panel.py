@@ -278,6 +278,36 @@ def test_stream_is_idempotent(spark, tmp_path):
     assert store.load_prices(spark, f"file:{tmp_path}/base").count() == 1
 
 
+def test_backfill_and_reports(spark, tmp_path):
+    from sigframe.operators import backfill, reports
+
+    rng = np.random.default_rng(4)
+    rows = [(e, day(k), 10, 11, 9, 10 + rng.random(), 1000) for e in ("A", "B", "C") for k in range(60 if e != "C" else 5)]
+    short = spark.createDataFrame([("A", 0.4)], "entity string, short_vol_ratio double")
+    got = backfill.snapshot_asof(bars_of(spark, rows), day(40), spark.createDataFrame([("A",), ("C",)], "entity string"), short)
+    (r,) = got.collect()
+    whole = features.compute_features(bars_of(spark, rows)).where((F.col("date") == day(40)) & (F.col("entity") == "A")).first()
+    assert r["entity"] == "A" and r["backfilled"] and r["features"]["short_vol_ratio"] == 0.4 and r["features"]["ROC_20"] == whole["ROC_20"] and "news_count" in r["backfilled_missing"]
+    base = f"file:{tmp_path}/a"
+    store.append_snapshot(spark, base, got)
+    assert store.has_snapshot(spark, base, day(40)) and not store.has_snapshot(spark, base, day(41))
+    state = reports.status(store.update_manifest(spark, base), day(41))
+    assert state["archives"]["features"]["rows"] == 1 and state["late"] and state["first_label"] == day(103)
+    assert "| A |" in reports.to_markdown(store.load_features(spark, base).select("entity"), "T")
+
+
+def test_fetch_keys(spark):
+    from sigframe.sources import fetch
+
+    def get(key):
+        if key == "bad":
+            raise OSError
+        return key.upper()
+
+    keys = spark.createDataFrame([("a",), ("a",), ("bad",)], "key string")
+    assert dict(values(fetch.fetch_keys(keys, get, rate=1000, retries=1, pause=0.01, default="none"), "key", "body")) == {"a": "A", "bad": "none"}
+
+
 def test_merge_later_source_wins(spark):
     u = spark.createDataFrame([("A",), ("B",)], "entity string")
     s1 = spark.createDataFrame([("A", {"x": 1.0, "y": 2.0}), ("Z", {"x": 9.0})], "entity string, features map<string,double>")
