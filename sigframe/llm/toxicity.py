@@ -27,7 +27,7 @@ rows score equally; an empty table gives no rows; lang, source and doc_id are ne
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from sigframe.llm.common import small_batches
 
-SAMPLE_DOCS, SAMPLE_CHARS = 4_000, 20_000
+SAMPLE_DOCS, SAMPLE_CHARS = 3_000, 20_000
 THRESHOLD = 0.3
 #: Tokens of a block; forms whose emission a worker keeps.
 BLOCK, KEEP_FORMS = 64, 300_000
@@ -48,8 +48,8 @@ BLOCK, KEEP_FORMS = 64, 300_000
 HEADS, TAILS = (3, 4, 5, 6, 7), (4, 5, 6)
 #: Numbers of tokens in a document from which a cue can count.
 LEVELS = (1, 2, 4)
-#: Share of toxic documents among those that have a picked cue, one clean one added.
-PRECISION = 0.93
+#: Share of toxic documents among those that have a picked cue; how many cues may be expected by chance.
+PRECISION, CHANCE = 0.93, 1.0
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _TOKEN = re.compile(r"\S+")
 
@@ -136,8 +136,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def families(docs: list[list[str]], bands: int = 6) -> list[int]:
-    """A number for each document, equal for those that share most word pairs (min-hash bands)."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def families(docs: list[np.ndarray], bands: int = 6) -> list[int]:
+    """Of documents as word numbers: a number for each, equal for those that share most word pairs
+    (min-hash bands)."""
     parent = list(range(len(docs)))
 
     def top(k: int) -> int:
@@ -146,16 +153,15 @@ def families(docs: list[list[str]], bands: int = 6) -> list[int]:
             k = parent[k]
         return k
 
-    draw = np.random.default_rng(5)
-    odd = draw.integers(1, 1 << 63, 2 * bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    salts = _mix(np.arange(1, 2 * bands + 1, dtype=np.uint64))
     seen: dict[tuple, int] = {}
     for k, words in enumerate(docs):
-        pairs = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)} or set(words)
-        if pairs:
-            h = np.array([xxhash.xxh64_intdigest(p) for p in pairs], np.uint64)
-            low = ((h[:, None] * odd) ^ ((h[:, None] * odd) >> np.uint64(29))).min(axis=0).tolist()
+        w = words.astype(np.uint64)
+        pairs = _mix((w[:-1] << np.uint64(32)) | w[1:]) if len(w) > 1 else _mix(w)
+        if len(pairs):
+            low = [int(_mix(np.unique(pairs) ^ s).min()) for s in salts]
             for band in range(bands):
-                other = top(seen.setdefault((band, *low[2 * band : 2 * band + 2]), k))
+                other = top(seen.setdefault((band, low[2 * band], low[2 * band + 1]), k))
                 parent[top(k)] = other
     return [top(k) for k in range(len(docs))]
 
@@ -167,14 +173,16 @@ def toxic_cues(doc: np.ndarray, cue: np.ndarray, count: np.ndarray, toxic: np.nd
     """
     size = len(lengths)
     share = max(1, int(toxic.sum())) / (len(toxic) + 1)
-    # so many toxic documents that among all cues not one would be there by chance
-    least = max(3, int(np.ceil(np.log(20 * (size + 1)) / -np.log(share))))
+    # so many toxic documents that among the cues as common as that not one would be there by chance
+    common = np.bincount(np.bincount(cue, minlength=size))
+    above = common[::-1].cumsum()[::-1]
+    least = next((n for n in range(3, len(above)) if above[n] * share**n < CHANCE), len(above))
     docs, items, cost = [], [], []
     for k, level in enumerate(LEVELS):
         there = count >= level
         bad = np.bincount(cue[there & toxic[doc]], minlength=size)
         good = np.bincount(cue[there & ~toxic[doc]], minlength=size)
-        fit = (bad >= least) & (bad >= precision * (bad + good + 1))
+        fit = (bad >= least) & (bad >= precision * (bad + good))
         some = there & toxic[doc] & fit[cue]
         docs.append(doc[some])
         items.append(cue[some] + k * size)
@@ -197,53 +205,67 @@ def train(texts: list[str], toxic: list[bool], rounds: int = 50, most_of_each: i
     """A model from labelled texts."""
     if not any(toxic) or all(toxic):
         return Model(base=sum(toxic) / len(toxic) if toxic else 0.0)
-    tokens = [[form_of(x) for x in t.split()] for t in texts]
+    number: dict[str, int] = {}
+    seqs = [np.array([number.setdefault(form_of(x), len(number)) for x in t.split()], np.int32) for t in texts]
+    words = list(number)
+    del number
     share: dict[int, list[int]] = {}
-    for k, f in enumerate(families(tokens)):
+    for k, f in enumerate(families(seqs)):
         share.setdefault(f, []).append(k)
     heads = [group[0] for group in share.values()]
     toxic = [2 * sum(toxic[k] for k in group) >= len(group) for group in share.values()]
-    texts, tokens = [texts[k] for k in heads], [tokens[k] for k in heads]
-    words = sorted({w for x in tokens for w in x})
-    number = {w: i for i, w in enumerate(words)}
-    cues = [cues_of(w) for w in words]
-    name: dict[str, int] = {}
-    cue = np.array([name.setdefault(c, len(name)) for x in cues for c in x], np.int64)
-    per_word = np.array([len(x) for x in cues], np.int64)
+    texts, seqs = [texts[k] for k in heads], [seqs[k] for k in heads]
+    hashes, lengths = array("Q"), array("i")
+    for w in words:
+        own = cues_of(w)
+        lengths.append(len(own))
+        hashes.extend(map(xxhash.xxh64_intdigest, own))
+    names, first, cue = np.unique(np.frombuffer(hashes, np.uint64), return_index=True, return_inverse=True)
+    cue, per_word = cue.astype(np.int32), np.frombuffer(lengths, np.int32)
     at_word = np.cumsum(per_word) - per_word
-    seqs = [np.array([number[w] for w in x], np.int64) for x in tokens]
-    pair, times = np.unique(np.concatenate([s + k * len(words) for k, s in enumerate(seqs)]), return_counts=True)
-    doc, word = pair // len(words), pair % len(words)
-    many = per_word[word]
-    spot = np.repeat(at_word[word] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-    key = np.repeat(doc, many) * len(name) + cue[spot]
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    heads_at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    count = np.add.reduceat(np.repeat(times, many)[order], heads_at)
-    doc, cue_of = key[heads_at] // len(name), key[heads_at] % len(name)
+    size_of = np.fromiter((len(c) for w in words for c in cues_of(w)), np.int32, len(cue))[first]
+    del names, first, hashes
+    docs_, cues_, counts_ = [], [], []
+    for k, s in enumerate(seqs):  # how many tokens of each document have each cue
+        word, times = np.unique(s, return_counts=True)
+        many = per_word[word]
+        spot = np.repeat(at_word[word] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        here, back = np.unique(cue[spot], return_inverse=True)
+        docs_.append(np.full(len(here), k, np.int32))
+        cues_.append(here)
+        counts_.append(np.bincount(back, np.repeat(times, many), len(here)).astype(np.int32))
+    doc, cue_of, count = np.concatenate(docs_), np.concatenate(cues_), np.concatenate(counts_)
+    del docs_, cues_, counts_
     is_toxic = np.array(toxic)
-    picked = toxic_cues(doc, cue_of, count, is_toxic, np.array([len(c) for c in name]))
-    owner = np.repeat(np.arange(len(words)), per_word)
+    picked = toxic_cues(doc, cue_of, count, is_toxic, size_of)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), per_word)
     marked: dict[int, np.ndarray] = {}
     for c, level in picked:
         has = np.zeros(len(words), bool)
         has[owner[cue == c]] = True
         for k in doc[(cue_of == c) & (count >= level) & is_toxic[doc]].tolist():
             marked[k] = has[seqs[k]] | marked.get(k, False)
-    rows = [*sorted(marked)[:most_of_each], *[k for k, t in enumerate(toxic) if not t and tokens[k]][:most_of_each]]
+    rows = [*sorted(marked)[:most_of_each], *[k for k, t in enumerate(toxic) if not t and len(seqs[k])][:most_of_each]]
     known = np.isin(doc, rows)
-    keep = np.bincount(cue_of[known], minlength=len(name)) >= 3
+    keep = np.bincount(cue_of[known], minlength=len(size_of)) >= 3
     keep[[c for c, _ in picked]] = True
     new = np.cumsum(keep) - 1
-    owner, cue = owner[keep[cue]], new[cue[keep[cue]]]
-    vocabulary = [c for c, k in zip(name, keep, strict=True) if k]
+    held, at = keep[cue], 0
+    vocabulary = [""] * int(keep.sum())
+    for w, n in zip(words, per_word.tolist(), strict=True):
+        if held[at : at + n].any():
+            for c, k in zip(cues_of(w), cue[at : at + n].tolist(), strict=True):
+                if keep[k]:
+                    vocabulary[new[k]] = c
+        at += n
+    owner, cue = owner[held], new[cue[held]]
     seq = np.concatenate([seqs[k] for k in rows])
-    sizes = np.array([len(tokens[k]) for k in rows], np.int64)
-    y = np.concatenate([marked[k] if k in marked else np.zeros(len(tokens[k])) for k in rows]).astype(float)
+    sizes = np.array([len(seqs[k]) for k in rows], np.int64)
+    y = np.concatenate([marked[k] if k in marked else np.zeros(len(seqs[k])) for k in rows]).astype(float)
     first = np.r_[0, np.cumsum(sizes)][:-1]
     before = np.r_[0.0, y][:-1]
     before[first] = 0.0
+    del doc, cue_of, count, known, seqs
     weights = [np.zeros(len(vocabulary)), np.array([-4.0]), np.zeros(3)]
     moment = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
     for step in range(1, rounds + 1):
@@ -269,7 +291,7 @@ def train(texts: list[str], toxic: list[bool], rounds: int = 50, most_of_each: i
     own, bias, moves = weights
     model = Model({c: float(w) for c, w in zip(vocabulary, own, strict=True) if abs(w) > 1e-3}, float(bias[0]), tuple(float(x) for x in np.exp(moves)), base=None)
     scorer = Scorer(model)
-    features = np.array([f[:2] for f in scorer.features(texts)])
+    features = np.array([f[:2] for at in range(0, len(texts), 200) for f in scorer.features(texts[at : at + 200])])
     truth = np.array(toxic, float)
     w = np.zeros(3)
     x = np.c_[np.ones(len(truth)), features]
@@ -338,8 +360,8 @@ class Scorer:
         return out
 
 
-def held_out(doc_id="doc_id"):
-    return (F.crc32(F.col(doc_id).cast("string")) % 4) == 2
+def held_out(doc_id: str = "doc_id"):
+    return F.coalesce((F.crc32(F.col(doc_id).cast("string")) % 4) == 2, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
