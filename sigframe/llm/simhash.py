@@ -268,7 +268,8 @@ def links(classes: DataFrame, radius: int, masks: list[np.ndarray], cuts: Cuts)
     """(a, b): a spanning forest of the links in each bucket, from classes (node, fp distinct)."""
     keyed = cuts.write(_keyed(classes, masks))
     crowded = keyed.groupBy("tab", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    crowded = crowded.select("tab", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    # written first: its measured size then decides whether `keyed` must be shuffled for the join
+    crowded = cuts.write(crowded.select("tab", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     placed = keyed.join(crowded, ["tab", "key"], "left").fillna(1, ["blocks"])
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
