@@ -27,7 +27,7 @@ OPEN, CLOSE = "<s>", "</s>"
 #: Strings that a model would take for structure; none may stand inside a rendered text.
 CONTROL = (OPEN, CLOSE, "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 _PLAIN = re.compile("|".join(f"({re.escape(c[0])})(\\\\*)({re.escape(c[1:])})" for c in CONTROL))
-_TURN = re.compile(r"<s>([^\n]*)\n(.*?)</s>", re.S)
+_CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
 LOSS_ROLES = ("assistant",)
 
 RENDERED = "conv_id long, formatted string, loss_start long, loss_end long"
@@ -46,7 +46,7 @@ def unescape(text: str) -> str:
         first, slashes, rest = (g for g in m.groups() if g is not None)
         return f"{first}{slashes[1:]}{rest}"
 
-    return _PLAIN.sub(shorter, text)
+    return _PLAIN.sub(shorter, text) if "\\" in text else text
 
 
 def _role_out(role: str) -> str:
@@ -54,17 +54,19 @@ def _role_out(role: str) -> str:
 
 
 def _role_in(role: str) -> str:
-    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role)) if "\\" in role else role
 
 
 def parse(formatted: str) -> list[tuple[str, str]] | None:
     """The turns (role, text) of a rendered string, or None if it isn't of the grammar."""
     at, turns = 0, []
     while at < len(formatted):
-        if not (m := _TURN.match(formatted, at)):
+        line = formatted.find("\n", at)
+        end = formatted.find(CLOSE, line) if line >= 0 else -1
+        if end < 0 or not formatted.startswith(OPEN, at) or formatted.find(CLOSE, at, line) >= 0:
             return None
-        turns.append((_role_in(m[1]), unescape(m[2])))
-        at = m.end()
+        turns.append((_role_in(formatted[at + len(OPEN) : line]), unescape(formatted[line + 1 : end])))
+        at = end + len(CLOSE)
     return turns
 
 
@@ -73,7 +75,7 @@ def render_turn(role: str, text: str) -> tuple[str, int, int]:
     for attempt in (lambda x: x, escape):
         name, body = _role_out(role), attempt(text)
         out = f"{OPEN}{name}\n{body}{CLOSE}"
-        if not any(c in body for c in CONTROL) and parse(out) == [(role, text)]:
+        if not _CONTROL.search(body) and parse(out) == [(role, text)]:
             return out, len(OPEN) + len(name) + 1, len(out) - len(CLOSE)
     raise ValueError("a turn can't be rendered reversibly")
 
