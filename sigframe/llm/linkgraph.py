@@ -4,12 +4,12 @@ A rule is a host and the start of a path; it fits the host and its subdomains. O
 fit a url the longest wins. Urls without a rule are judged by their host: personalised PageRank
 spreads trust from hosts of allowed pages along links, and distrust spreads from hosts of blocked
 pages against them (who links to a blocked host is suspect). A host is blocked where its distrust
-is above `ratio` times its trust and at least `share` of the mean of all hosts that have any; what
-trickles through a domain with thousands of subdomains stays below that.
+is above `ratio` times its trust, however many hosts share it.
 
 Edges between hosts: absolute links in the pages' html, and a host and its parent domain (the name
 without its first label, down to two labels) in both directions, because a parent answers for its
-subdomains. Edges are aggregated to one row per pair of hosts before the iterations, so that hot
+subdomains. What rose from a host to its parents does not fall from them to their other subdomains:
+one bad subdomain of thousands says nothing about the rest. Edges are aggregated to one row per pair of hosts before the iterations, so that hot
 hosts and repeated links cost one row each; scores are rows of a table, never collected.
 
 Cases: a null url, or one without ``://``, has an empty host and path, no rule, and is allowed;
@@ -27,7 +27,7 @@ from sigframe.llm.common import Cuts
 
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-DAMPING, ROUNDS, RATIO, SHARE = 0.85, 10, 1.0, 0.5
+DAMPING, ROUNDS, RATIO = 0.85, 10, 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -68,21 +68,25 @@ def spread(edges: DataFrame, seeds: DataFrame, cuts: Cuts, rounds: int = ROUNDS,
     """Personalised PageRank: (host, score) from seeds (host, seed), whose sum is 1.
 
     A fixed number of rounds of one join and one aggregation each. Hosts without outgoing links give
-    their score back to no one. Every third round's scores are written, which bounds the lineage.
+    their score back to no one. Score that rose to a parent is kept apart (`rose`): it moves on along all
+    edges but those to subdomains. Every third round's scores are written, which bounds the lineage.
     """
-    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    shares = cuts.write(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
-    scores = seeds.select("host", F.col("seed").alias("score"))
+    placed = edges.withColumns({"up": F.col("src").endswith(F.concat(F.lit("."), "dst")), "down": F.col("dst").endswith(F.concat(F.lit("."), "src"))})
+    out = placed.groupBy("src").agg(F.sum("weight").alias("total"), F.sum(F.when(~F.col("down"), F.col("weight"))).alias("beside"))
+    risen = F.when(F.col("down"), 0.0).otherwise(F.col("weight") / F.col("beside")).alias("risen_share")
+    shares = cuts.write(placed.join(out, "src").select("src", "dst", "up", (F.col("weight") / F.col("total")).alias("share"), risen))
+    scores = seeds.select("host", F.lit(False).alias("rose"), F.col("seed").alias("score"))
     for k in range(rounds):
-        moved = shares.join(scores, shares.src == scores.host).select(F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        back = seeds.select("host", (F.col("seed") * (1 - damping)).alias("score"))
-        scores = moved.union(back).groupBy("host").agg(F.sum("score").alias("score"))
+        share = F.when(F.col("rose"), F.col("risen_share")).otherwise(F.col("share"))
+        moved = shares.join(scores, shares.src == scores.host).where(share > 0).select(F.col("dst").alias("host"), F.col("up").alias("rose"), (F.col("score") * share * damping).alias("score"))
+        back = seeds.select("host", F.lit(False).alias("rose"), (F.col("seed") * (1 - damping)).alias("score"))
+        scores = moved.union(back).groupBy("host", "rose").agg(F.sum("score").alias("score"))
         if k % 3 == 2 or k == rounds - 1:
             scores = cuts.write(scores)
-    return scores
+    return scores.groupBy("host").agg(F.sum("score").alias("score"))
 
 
-def judge_pages(pages: DataFrame, rules: tuple = RULES, ratio: float = RATIO, share: float = SHARE, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def judge_pages(pages: DataFrame, rules: tuple = RULES, ratio: float = RATIO, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every row of pages (page_id, url, html)."""
     cuts = Cuts(pages.sparkSession, "linkgraph")
     placed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
@@ -95,8 +99,7 @@ def judge_pages(pages: DataFrame, rules: tuple = RULES, ratio: float = RATIO, sh
     trust = spread(edges, allowed, cuts, rounds, damping)
     distrust = spread(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), blocked, cuts, rounds, damping)
     hosts = trust.select("host", F.col("score").alias("trust"), F.lit(0.0).alias("distrust")).union(distrust.select("host", F.lit(0.0), "score"))
-    hosts = cuts.write(hosts.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
-    least = share * (hosts.where("distrust > 0").agg(F.avg("distrust")).first()[0] or 0.0)
+    hosts = hosts.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
     judged = ruled.drop("html").join(hosts, "host", "left").fillna(0.0, ["trust", "distrust"])
-    verdict = F.coalesce(F.col("found.verdict"), F.when((F.col("distrust") > ratio * F.col("trust")) & (F.col("distrust") >= least), "block").otherwise("allow"))
+    verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "trust", "distrust")

@@ -166,6 +166,26 @@ def test_distrust_flows_against_links(spark):
     assert [got[h]["trust"] for h in hosts] == pytest.approx(trust.tolist())
 
 
+def verdicts(spark, pages):
+    return {r["page_id"]: r["verdict"] for r in linkgraph.judge_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+
+def test_distrust_does_not_thin_out(spark):
+    fans = [(k, f"http://fan{k}.org/", '<a href="http://bad.net/">x</a>') for k in range(40)]
+    got = verdicts(spark, [(100, "http://bad.net/es/", ""), (101, "http://bad.net/", ""), *fans])
+    assert got[101] == "block" and all(got[k] == "block" for k in range(40))
+    hot = [(k, f"http://hot.net/es/{k}", "") for k in range(200)]
+    tail = [row for k in range(20) for row in ((1000 + k, f"http://tail{k}.net/es/", ""), (2000 + k, f"http://tail{k}.net/", ""))]
+    got = verdicts(spark, hot + tail)
+    assert all(got[2000 + k] == "block" for k in range(20))
+
+
+def test_distrust_rises_but_spares_the_siblings(spark):
+    pages = [(0, "http://bad.big.net/es/", ""), (1, "http://big.net/", '<a href="http://bad.big.net/">x</a>'), (2, "http://own.net/es/", ""), (3, "http://a.own.net/", "")]
+    got = verdicts(spark, pages + [(10 + k, f"http://s{k}.big.net/", '<a href="http://big.net/">x</a>') for k in range(5)])
+    assert got[1] == "block" and got[3] == "block" and all(got[10 + k] == "allow" for k in range(5))
+
+
 # 4. Toxicity.
 
 
