@@ -52,12 +52,14 @@ def _words(text: bytes, more: int) -> Iterator[list[bytes]]:
         yield text.split()
         return
     piece: list[bytes] = []
+    cut = False
     for m in _WORD.finditer(text):
         piece.append(m[0])
         if len(piece) >= 1 << 18:
             yield piece
             piece = piece[len(piece) - more :] if more else []
-    if len(piece) > more or not more:
+            cut = True
+    if len(piece) > more or not cut:
         yield piece
 
 

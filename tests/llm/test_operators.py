@@ -461,6 +461,14 @@ def test_long_texts_are_read_in_pieces(monkeypatch):
     assert (np.concatenate(list(simhash.shingle_hashes(text, 3))) == whole).all()
 
 
+@pytest.mark.parametrize("n", [1, 3, 5])
+def test_long_texts_of_few_words(n, monkeypatch):
+    texts = ["x" * 50, " " * 50, *(" ".join(f"{'y' * 20}{j}" for j in range(k)) for k in range(1, 7))]
+    whole = [simhash.fingerprint(t, n) for t in texts]
+    monkeypatch.setattr(simhash, "_LONG", 10)
+    assert [simhash.fingerprint(t, n) for t in texts] == whole
+
+
 # 10. Pieces.
 
 
