@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import combinations
+from math import ceil, log1p, prod
 
 import numpy as np
 import pyarrow as pa
@@ -104,11 +105,22 @@ def exact_masks(bits: int, radius: int, count: int, most: int = 4) -> list[np.nd
     return [np.concatenate([blocks[k] for k in pick]) for pick in combinations(range(radius + m), m)]
 
 
-def sampled_masks(bits: int, tables: int, count: int, width: int = 16) -> list[np.ndarray]:
-    """Tables of random bit places, one wider for each doubling of the count beyond 2 ** (width + 8)."""
-    width += max(0, count.bit_length() - width - 8)
+def meeting(bits: int, radius: int, width: int) -> float:
+    """The chance that two fingerprints at that distance agree on a table of `width` random places."""
+    return prod((bits - radius - k) / (bits - k) for k in range(width))
+
+
+def sampled_masks(bits: int, radius: int, tables: int, count: int, width: int = 16) -> list[np.ndarray]:
+    """Tables of random bit places, one wider for each doubling of the count beyond 2 ** (width + 8).
+
+    Wider tables come in greater number, so that a pair at any distance within the radius meets in
+    some table with at least the chance that `tables` of `width` give it.
+    """
+    wide = width + max(0, count.bit_length() - width - 8)
+    if wide > width and radius:
+        tables = ceil(tables * log1p(-meeting(bits, radius, width)) / log1p(-meeting(bits, radius, wide)))
     draw = np.random.default_rng(SEED)
-    return [np.sort(draw.choice(bits, width, replace=False)) for _ in range(tables)]
+    return [np.sort(draw.choice(bits, wide, replace=False)) for _ in range(tables)]
 
 
 def _planes(rows: np.ndarray) -> np.ndarray:
@@ -339,7 +351,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, lanes: int = 1, radius: int = 3
     known = marked.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc_id"), "fp")
     classes = cuts.write(known.groupBy("fp").agg(F.min("doc_id").alias("node")).select("node", "fp"))
     count = classes.count()
-    masks = exact_masks(64 * lanes, radius, count) if tables is None else sampled_masks(64 * lanes, tables, count)
+    masks = exact_masks(64 * lanes, radius, count) if tables is None else sampled_masks(64 * lanes, radius, tables, count)
     found = cuts.write(links(classes, radius, masks, cuts))
     roots = components(found, cuts)
     placed = classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))

@@ -469,6 +469,18 @@ def test_long_texts_of_few_words(n, monkeypatch):
     assert [simhash.fingerprint(t, n) for t in texts] == whole
 
 
+@pytest.mark.parametrize("radius", [45, 57])
+def test_sampled_tables_find_as_much_at_any_count(radius):
+    def found(masks, far):
+        return 1 - (1 - simhash.meeting(256, far, len(masks[0]))) ** len(masks)
+
+    few = simhash.sampled_masks(256, radius, 40, 1 << 20)
+    assert len(few) == 40 and len(few[0]) == 16
+    for count in (1 << 24, 1 << 26, 1 << 29, 1 << 33):
+        many = simhash.sampled_masks(256, radius, 40, count)
+        assert all(found(many, far) >= found(few, far) - 1e-12 for far in range(1, radius + 1))
+
+
 # 10. Pieces.
 
 
