@@ -33,7 +33,7 @@ def fit_logistic(train: DataFrame, l2: float = 1.0):
     return LogisticRegression(featuresCol="x", labelCol="label", regParam=l2 / max(1, train.count()), elasticNetParam=0.0, standardization=False, maxIter=100).fit(train)
 
 
-def fit_trees(train: DataFrame, rounds: int = 20, seed: int = 0):
+def fit_trees(train: DataFrame, rounds: int = 200, seed: int = 0):
     return GBTClassifier(featuresCol="x", labelCol="label", maxDepth=3, stepSize=0.05, maxIter=rounds, seed=seed).fit(train)
 
 

@@ -150,6 +150,21 @@ def test_walk_forward_learns(spark):
     assert all(0 <= a <= b <= 1 for a, b in zip(p, p[1:], strict=False))
 
 
+def test_trees_boost_as_often_as_the_reference(monkeypatch):
+    asked = {}
+
+    class Trees:
+        def __init__(self, **options):
+            asked.update(options)
+
+        def fit(self, train):
+            return self
+
+    monkeypatch.setattr(model, "GBTClassifier", Trees)
+    model.fit_trees(None)
+    assert (asked["maxIter"], asked["maxDepth"], asked["stepSize"]) == (200, 3, 0.05)
+
+
 def test_isotonic_pools(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 0.0), (3.0, 1.0)], "score double, label double")
     iso = model.calibrate(df)
