@@ -17,9 +17,10 @@ from sigframe.llm import mixing, pieces, pii, simhash, toxicity
 from sigframe.llm.common import Cuts, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Near duplicates: fingerprints of 5-word shingles with 256 bits. Shingle sets of similarity 0.8
-#: differ in 39 bits on average (standard deviation 6), those of 0.85 in 33; unrelated ones in 128.
-SHINGLE, LANES, RADIUS, TABLES = 5, 4, 45, 40
+#: Near duplicates: sets of 5-word shingles of similarity 0.8 at least, proposed by 256-bit fingerprints.
+#: Sets of similarity 0.8 differ in 39 bits on average (standard deviation 6), so the radius is three
+#: deviations wider; unrelated ones differ in 128.
+SHINGLE, LANES, RADIUS, TABLES, WIDTH, SIMILAR = 5, 4, 57, 40, 12, (4, 5)
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of least doc_id, of each group of near duplicates."""
     docs = docs.select(*COLUMNS)
-    marked = simhash.near_duplicates(docs.select("doc_id", "text"), n=SHINGLE, lanes=LANES, radius=RADIUS, tables=TABLES)
+    marked = simhash.similar_documents(docs.select("doc_id", "text"), SHINGLE, LANES, RADIUS, TABLES, SIMILAR, WIDTH)
     marked = Cuts(spark, "pipeline").write(marked.select("doc_id", (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("out")))
     gone = marked.where("out").select(F.col("doc_id").alias("gone")).distinct()
     kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")

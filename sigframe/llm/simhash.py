@@ -23,8 +23,9 @@ rows; texts of any length are read in pieces.
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 from math import ceil, log1p, prod
 
@@ -41,6 +42,8 @@ SEED = 42
 BLOCK = 2048
 #: Rows that a task gathers before it compares their buckets.
 GATHER = 1 << 15
+#: Shingle hashes that a block of a proposed group holds; 16 MB.
+GATHER_HASHES = 1 << 21
 _NULL_ID = -(1 << 63)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LONG = 1 << 22
@@ -77,8 +80,12 @@ def shingle_hashes(text: str | None, n: int = 3) -> Iterator[np.ndarray]:
 
 def fingerprint(text: str | None, n: int = 3, lanes: int = 1) -> bytes:
     """64 * lanes bits, little-endian; lanes after the first mix the same hashes."""
+    return _majority(shingle_hashes(text, n), lanes)
+
+
+def _majority(pieces: Iterable[np.ndarray], lanes: int) -> bytes:
     ones, total = np.zeros(64 * lanes, np.int64), 0
-    for hashes in shingle_hashes(text, n):
+    for hashes in pieces:
         for at in range(0, len(hashes), 8192):
             h = hashes[at : at + 8192]
             if lanes > 1:
@@ -257,6 +264,153 @@ def fingerprints(docs: DataFrame, n: int = 3, lanes: int = 1) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, fp binary")
 
 
+def fingerprints_and_sets(docs: DataFrame, n: int, lanes: int) -> DataFrame:
+    """doc_id, fp, mark (digest of the set of shingles), size (of that set) of every row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, marks, sizes = [], [], []
+            for text in b.column(1).to_pylist():
+                pieces = list(shingle_hashes(text, n))
+                own = _distinct(pieces)
+                fps.append(_majority(pieces, lanes))
+                marks.append(hashlib.md5(own.tobytes()).digest())
+                sizes.append(len(own))
+            yield pa.record_batch([b.column(0), pa.array(fps, pa.binary()), pa.array(marks, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "fp", "mark", "size"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, fp binary, mark binary, size long")
+
+
+def _distinct(pieces: Iterable[np.ndarray]) -> np.ndarray:
+    pieces = list(pieces)
+    return np.unique(np.concatenate(pieces)) if pieces else np.zeros(0, np.uint64)
+
+
+def alike(x: np.ndarray, y: np.ndarray, least: tuple[int, int]) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at least least[0] / least[1]."""
+    over, under = least
+    if under * min(len(x), len(y)) < over * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return under * both >= over * (len(x) + len(y) - both)
+
+
+def alike_forest(sets: list[np.ndarray], least: tuple[int, int]) -> np.ndarray:
+    """The least index that each set reaches over pairs that are `alike`; exact.
+
+    Alike sets share one of their least hashes (as many as may be missing, and one more). Sets that
+    share one are compared unless they hang together already: neighbours in size first, then the rest.
+    """
+    over, under = least
+    cut = [x[: len(x) - -(-over * len(x) // under) + 1] for x in sets]
+    held = np.repeat(np.arange(len(sets)), [len(c) for c in cut])
+    root = np.arange(len(sets))
+    if not len(held):
+        return root
+    size = np.array([len(x) for x in sets])
+    hashes = np.concatenate(cut)
+    order = np.lexsort((size[held], hashes))
+    hashes, held = hashes[order], held[order]
+    starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+    ends = np.r_[starts[1:], len(hashes)]
+    refuted = set()
+
+    def tried(i: int, j: int) -> None:
+        pair = (min(i, j), max(i, j))
+        if root[i] == root[j] or pair in refuted:
+            return
+        if alike(sets[i], sets[j], least):
+            low, high = sorted((root[i], root[j]))
+            root[root == high] = low
+        else:
+            refuted.add(pair)
+
+    for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
+        own = held[s:e]
+        if (root[own] == root[own[0]]).all():
+            continue
+        for i, j in zip(own[:-1].tolist(), own[1:].tolist(), strict=True):
+            tried(i, j)
+        for k, i in enumerate(own.tolist()):
+            rest = own[k + 1 :]
+            for j in rest[root[rest] != root[i]].tolist():
+                tried(i, j)
+    return root
+
+
+def _alike_links(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """(a, b): a spanning forest of the alike pairs in each group, from rows (grp, x, y, node, hashes) sorted by group."""
+
+    def compare(nodes: list[int], held: list[bytes]) -> pa.RecordBatch:
+        root = alike_forest([np.frombuffer(h, np.uint64) for h in held], least)
+        some = np.flatnonzero(root != np.arange(len(root)))
+        node = np.array(nodes, np.int64)
+        return pa.record_batch([pa.array(node[some]), pa.array(node[root[some]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, nodes, held = None, [], []
+        for b in batches:
+            for grp, x, y, node, hashes in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                if (grp, x, y) != last:
+                    if len(nodes) > 1:
+                        yield compare(nodes, held)
+                    last, nodes, held = (grp, x, y), [], []
+                nodes.append(node)
+                held.append(hashes)
+        if len(nodes) > 1:
+            yield compare(nodes, held)
+
+    return sets.mapInArrow(run, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, n: int, lanes: int, radius: int, tables: int, least: tuple[int, int], width: int = 16) -> DataFrame:
+    """Of doc_id, text: doc_id, component_id (least doc_id reachable over alike pairs).
+
+    Fingerprints within the radius only propose groups. Inside a group the sets of shingles decide:
+    a link joins documents whose Jaccard similarity is at least least[0] / least[1]. Equal sets
+    always link and are compared once. A large group is cut into blocks, as crowded buckets are.
+    """
+    spark = docs.sparkSession
+    cuts = Cuts(spark, "similar")
+    marked = cuts.write(fingerprints_and_sets(docs, n, lanes).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID))))
+    classes = cuts.write(marked.groupBy("fp").agg(F.min("doc_id").alias("node")).select("node", "fp"))
+    small_batches(spark, 4096)
+    masks = sampled_masks(64 * lanes, radius, tables, classes.count(), width)
+    proposed = components(cuts.write(links(classes, radius, masks, cuts)), cuts)
+    group_of = classes.join(proposed, "node", "left").select("fp", F.coalesce("root", "node").alias("grp"))
+    reps = cuts.write(marked.groupBy("mark").agg(F.min("doc_id").alias("node"), F.first("size").alias("size")))
+    placed = marked.select("fp", "mark").distinct().join(group_of, "fp").select("grp", "mark").distinct().join(reps, "mark")
+    placed = cuts.write(placed.where("size > 0").select("grp", "mark", "node", "size"))
+    crowd = placed.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / GATHER_HASHES)).cast("int").alias("blocks")
+    wanted = cuts.write(placed.join(crowd.select("grp", blocks), "grp"))
+    small_batches(spark)
+    whole = _sets(docs, wanted.select(F.col("node").alias("doc_id")).distinct(), n)
+    held = cuts.write(whole.join(wanted.select("grp", "blocks", "mark", "node"), ["mark", "node"]).dropDuplicates(["grp", "mark"]))
+    own = F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int")
+    dealt = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("grp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "hashes")
+    dealt = dealt.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y")
+    roots = components(cuts.write(_alike_links(dealt, least)), cuts)
+    out = marked.join(reps.select("mark", "node"), "mark").join(roots, "node", "left").withColumn("component_id", F.coalesce("root", "node"))
+    shown = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c)).alias(c)
+    return out.select(shown("doc_id"), shown("component_id"))
+
+
+def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """node, mark, hashes (the sorted set of shingles) of the documents with these ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [_distinct(shingle_hashes(x, n)).tobytes() for x in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array([hashlib.md5(m).digest() for m in made], pa.binary()), pa.array(made, pa.binary())], names=["node", "mark", "hashes"])
+
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.join(ids, "doc_id", "left_semi").mapInArrow(run, "node long, mark binary, hashes binary")
+
+
 def _keyed(classes: DataFrame, masks: list[np.ndarray]) -> DataFrame:
     """A row per class and table: tab, key, node, fp."""
 

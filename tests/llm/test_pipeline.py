@@ -61,6 +61,25 @@ def test_stages(spark, corpus):
     assert set(encoded) == set(mixed) and all(r["exact"] and auto.decode(r["piece_ids"]) == (mixed[k]["text"] or "") for k, r in encoded.items())
 
 
+def test_only_similar_documents_are_copies(spark):
+    """Pairs on both sides of 0.8, by the number of shared 5-word shingles; brute force decides."""
+    rng, texts = np.random.default_rng(21), []
+    for k in range(60):
+        words = prose(rng, 200).split()
+        other = list(words)
+        cut = (15, 20, 24, 30, 36, 44)[k % 6]
+        other[-cut:] = prose(rng, cut).split()
+        texts += [" ".join(words), " ".join(other)]
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for t in texts]
+    near = [len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert 20 <= sum(near) <= 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    kept = {r["doc_id"] for r in P.copies_out(spark, docs, "").collect()}
+    assert all(2 * k in kept for k in range(60))
+    assert all(2 * k + 1 in kept for k in range(60) if not near[k])
+    assert sum(2 * k + 1 not in kept for k in range(60) if near[k]) >= sum(near) - 1
+
+
 def test_mixing_takes_whole_copies(spark, corpus):
     folder, _ = corpus
     docs = spark.read.parquet(f"{folder}/documents.parquet")
