@@ -191,11 +191,14 @@ def find_values(text: str) -> list[tuple[int, int, str]]:
     for m in _SECRET.finditer(text):
         if not text[max(0, m.start() - 1) : m.start()].isalnum() and not text[m.end() : m.end() + 1].isalnum():
             found.append((m.start(), m.end(), "secret"))
-    for m in _IBAN.finditer(text):
+    m = _IBAN.search(text)
+    while m:
+        end = 0
         if not text[max(0, m.start() - 1) : m.start()].isalnum():
             end = next((k for k in range(m.end(), m.start() + 14, -1) if not text[k - 1 : k].isspace() and not text[k : k + 1].isalnum() and iban_ok(text[m.start() : k])), 0)
             if end:
                 found.append((m.start(), end, "iban"))
+        m = _IBAN.search(text, end or m.start() + 1)
     at = text.find("@")
     while at >= 0:  # only around an @, so that long texts are read once
         head = _LOCAL.search(text, max(0, at - 128), at)

@@ -374,6 +374,12 @@ def test_pseudonyms_keep_the_format_and_come_back(kind):
     assert pii.pseudonymise(SAMPLES[kind][0], pii.Pseudonyms(b"other"))[0] != pii.pseudonymise(SAMPLES[kind][0], names)[0]
 
 
+@pytest.mark.parametrize("text", ["DE89370400440532013000 GB82WEST12345698765432", "AB12 CODE XYZ DE89370400440532013000", "DE89370400440532013000 " * 4])
+def test_every_iban_is_found(text):
+    want = re.findall(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{18}", text)
+    assert [text[a:b] for a, b, kind in pii.find_values(text) if kind == "iban"] == want
+
+
 def test_pseudonyms_leave_the_rest(spark):
     clean = ["", "4111111111111112 fails", "300.1.2.3 and 2001-02-30", "version 1.2.3.4.5", "a@b, 12-34 plain 1234567", "deadbeef", "x" * 50_000 + " 8.8.8.8"]
     df = docs_of(spark, [*clean, None], extra=True)
