@@ -4,23 +4,24 @@ Each stage takes (spark, docs, sf_dir) and works on all documents that the one b
 the last return the columns of `documents`. `run` writes each stage's result to the shared folder
 and rereads it, so a lost executor repeats tasks of one stage only.
 
-Cases, as in the operators: null texts count as empty; rows of equal doc_id are one document to the
-near-duplicate stage, which keeps one of them; empty tables pass through; other columns are dropped.
+Cases, as in the operators: null texts count as empty; the near-duplicate stage keeps one row of each
+group of near copies, whatever their doc_ids: rows of one doc_id, or of none, with different texts are
+different documents; empty tables pass through; other columns are dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigframe.llm import mixing, pieces, pii, simhash, toxicity
-from sigframe.llm.common import Cuts, table
+from sigframe.llm.common import Cuts, among, numbered, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near duplicates: sets of 5-word shingles of similarity 0.8 at least, proposed by 256-bit fingerprints.
 #: Sets of similarity 0.8 differ in 39 bits on average (standard deviation 6), so the radius is three
 #: deviations wider; unrelated ones differ in 128.
-SHINGLE, LANES, RADIUS, TABLES, WIDTH, SIMILAR = 5, 4, 57, 40, 12, (4, 5)
+SHINGLE, LANES, RADIUS, SIMILAR = 5, 4, 57, (4, 5)
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,15 +33,11 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of least doc_id, of each group of near duplicates."""
-    docs = docs.select(*COLUMNS)
-    marked = simhash.similar_documents(docs.select("doc_id", "text"), SHINGLE, LANES, RADIUS, TABLES, SIMILAR, WIDTH)
-    marked = Cuts(spark, "pipeline").write(marked.select("doc_id", (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("out")))
-    gone = marked.where("out").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-    if not marked.groupBy("doc_id").count().where("count > 1").isEmpty():
-        first = Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars")
-        kept = kept.withColumn("nth", F.row_number().over(first)).where("nth = 1")
-    return kept.select(*COLUMNS)
+    cuts = Cuts(spark, "pipeline")
+    rows = numbered(docs.select(*COLUMNS), cuts)
+    marked = simhash.similar_documents(rows.select("row", "text"), SHINGLE, LANES, RADIUS, SIMILAR, Cuts(spark, "similar"))
+    gone = cuts.write(marked.where("row <> component_row").select("row"))
+    return among(rows, gone, "row", "left_anti").select(*COLUMNS)
 
 
 def private_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +47,9 @@ def private_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix of sources takes it."""
-    docs = docs.select(*COLUMNS).withColumn("size", mixing.word_count("text"))
-    plan = mixing.mix(docs.select("doc_id", "size", F.array("source").alias("sources")))
-    plan = plan.where("times > 0").select(F.col("doc_id").alias("id"), F.col("size").alias("words"), F.col("sources")[0].alias("of"), "times").distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("size") == F.col("words")) & F.col("source").eqNullSafe(F.col("of"))
-    taken = docs.join(plan, same)
+    """Each document as many times as the mix of sources takes it; texts are only read, never shuffled."""
+    sized = docs.select(*COLUMNS).withColumn("size", mixing.word_count("text")).withColumn("sources", F.array("source"))
+    taken = mixing.taken(sized, ["doc_id", "text", "lang", "source", "n_chars"]).where("times > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
 
 

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder (tests, one machine).
+#: Used only where the session names no folder and runs on one machine (tests).
 OWN_SHARED = "file:/tmp/checkpoints/sigframe"
 
-#: Rows that a Python worker holds at once; texts of 100 kB then make 25 MB.
-BATCH_ROWS = 256
+#: Rows and bytes that a Python worker gets at once.
+BATCH_ROWS, BATCH_BYTES = 256, 64 << 20
+#: Bits of a sieve: 8 MB, whatever the number of ids.
+SIEVE_BITS = 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bounds what Arrow hands to Python at once; applies to all later plans of the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    master = spark.sparkContext.master
+    if not found and not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (found or OWN_SHARED).rstrip("/")
 
 
@@ -39,26 +47,94 @@ class Cuts:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
-        self.paths: dict[int, str] = {}
+        self.tables: list[tuple[DataFrame, str]] = []
 
     def write(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.base}/{self.count}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         out = self.spark.read.parquet(path)
-        self.paths[id(out)] = path
+        self.tables.append((out, path))
         return out
 
+    def _remove(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
     def drop(self, df: DataFrame) -> None:
         """Removes a table that nothing reads any more."""
-        path = self.paths.pop(id(df), None)
-        if path:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        for x, path in self.tables:
+            if x is df:
+                self._remove(path)
+        self.tables = [t for t in self.tables if t[0] is not df]
+
+    def only(self, *needed: DataFrame) -> None:
+        """Removes all tables but those that the result still reads."""
+        for x, _ in list(self.tables):
+            if not any(x is y for y in needed):
+                self.drop(x)
+
+
+def numbered(rows: DataFrame, cuts: Cuts, key: str = "doc_id") -> DataFrame:
+    """`rows` with row: a number of each row, the key itself where that is unique and never null.
+
+    Else the rows are written with numbers of their own, so that every later reading agrees on them.
+    """
+    keyed = rows.withColumn("row", F.col(key).cast("long"))
+    if keyed.groupBy("row").agg(F.count("*").alias("n")).where("n > 1 OR row IS NULL").isEmpty():
+        return keyed
+    return cuts.write(rows.withColumn("row", F.monotonically_increasing_id()))
+
+
+def sieve(ids: DataFrame, bits: int = SIEVE_BITS):
+    """A test for a column: false for numbers that aren't in `ids` (one long column), true for all that are
+    and for a few others. None where so many ids would pass nearly everything.
+
+    A Bloom filter of two positions per id in at most 2 ** bits bits, which alone reach the driver. It spares
+    the rows of texts that it can clear a shuffle; an exact join must follow for the others.
+    """
+    spark, (name,) = ids.sparkSession, ids.columns
+    count = ids.count()
+    if count > 1 << bits:
+        return None
+    width = min(bits, max(10, (16 * count).bit_length()))
+    mask = F.lit((1 << width) - 1)
+    h = F.xxhash64(F.col(name))
+    places = ids.select(F.explode(F.array(h.bitwiseAND(mask), F.shiftright(h, 32).bitwiseAND(mask))).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("set")).toArrow()
+    held = np.zeros(max(1, 1 << width >> 6), np.int64)
+    held[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    shared = spark.sparkContext.broadcast(held)
+
+    @F.pandas_udf("boolean")
+    def there(x: pd.Series) -> pd.Series:
+        v, table, out = x.to_numpy(), shared.value, None
+        for p in (v & ((1 << width) - 1), v >> 32 & ((1 << width) - 1)):
+            hit = (table[p >> 6] >> (p & 63)) & 1
+            out = hit if out is None else out & hit
+        return pd.Series(out.astype(bool))
+
+    def test(column: str) -> Column:
+        return there(F.xxhash64(F.col(column)))
+
+    return test
+
+
+def among(rows: DataFrame, ids: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """`rows` joined to `ids` by `key` (inner or left_anti) so that hardly a row without a partner is shuffled.
+
+    ids grow with the data, so neither side is broadcast, at any size.
+    """
+    passed = sieve(ids.select(key))
+    near = rows if passed is None else rows.where(passed(key))
+    exact = near.join(ids.hint("merge"), key, how)
+    if how == "left_anti" and passed is not None:
+        return rows.where(~passed(key)).unionByName(exact)
+    return exact
 
 
 def components(edges: DataFrame, cuts: Cuts, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of `edges` (a, b: long): root is the least node it reaches.
+    """(node, root) for every node of `edges` (a, b: long): root is the least node it reaches. Written.
 
     Large-star and small-star steps in turn: each node's greater neighbours, then its lesser ones,
     are hung on its least neighbour. Only counts reach the driver. A hub is a skewed join, which
@@ -84,4 +160,6 @@ def components(edges: DataFrame, cuts: Cuts, rounds: int = 60) -> DataFrame:
         last = mark
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = cuts.write(now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+    cuts.drop(now)
+    return out

@@ -1,24 +1,27 @@
 """SimHash near-duplicates, compared bit-sliced.
 
 A fingerprint bit is 1 if it is set in more than half of the hashes of a text's word shingles.
-Candidates share a key, bits of the fingerprint taken by a table's mask; inside a bucket of equal
-keys distances are counted vertically: bit plane j holds bit j of 64 fingerprints a word, planes of
-two fingerprint blocks are xor-ed, and carry-save adders add them to counters that hold one bit of
-64 distances a word. A counter that passes the radius sets a sticky bit; words whose 64 lanes all
-have it are abandoned between groups of planes.
-
-Two ways to make tables: `exact_masks` cuts the bits into blocks so that any two fingerprints
-within the radius agree on one table's blocks (no link is lost); `sampled_masks` takes random bits,
-for wide radii, and finds a link with a known probability.
-
-A bucket of more than `BLOCK` fingerprints is cut into blocks by hash and its pairs of blocks go to
-different tasks, so that no bucket gathers in one; each task reports a spanning forest of its links,
-not all pairs. Equal fingerprints count once. Components come from written tables.
+Candidates share a key; inside a bucket of equal keys distances are counted vertically: bit plane j
+holds bit j of 64 fingerprints a word, planes of two fingerprint blocks are xor-ed, and carry-save
+adders add them to counters that hold one bit of 64 distances a word. A counter that passes the
+radius sets a sticky bit; words whose 64 lanes all have it are abandoned between groups of planes.
+
+Two kinds of keys. For narrow radii, `exact_masks` cuts the bits into blocks so that any two
+fingerprints within the radius agree on one table's blocks: no link is lost. For sets of similarity
+s, `KEYS` least hashes of the set: two sets share one of them with probability 1 - (1 - s) ** KEYS
+(0.99994 at 0.8), however many sets there are, and the rows grow as the sets do.
+
+A crowded bucket, of over `CROWD` blocks of `BLOCK` fingerprints, is first cut by further keys of its
+own kind: the bits that its mask left in radius + 1 parts, or the next `KEYS` least hashes. What is
+still larger than a block is cut into blocks by hash and its pairs of blocks go to different tasks,
+so that no bucket gathers in one; each task reports a spanning forest of its links, not all pairs.
+Equal fingerprints count once. Components come from written tables.
 
 Cases: null texts count as empty; a text with fewer words than a shingle is one shingle, one without
-words has the fingerprint zero; rows of equal doc_id are one document, which links all their texts; so are
-those of null doc_id, which stands below all others and comes out null; an empty table gives no
-rows; texts of any length are read in pieces.
+words has the fingerprint zero. In `near_duplicates` rows of equal doc_id are one document, which links
+all their texts; so are those of null doc_id, which stands below all others and comes out null; in
+`similar_documents` rows are told apart by their number. An empty table gives no rows; texts of any
+length are read in pieces.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from itertools import combinations
-from math import ceil, log1p, prod
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigframe.llm.common import Cuts, components, small_batches
+from sigframe.llm.common import Cuts, among, components, small_batches
 
 SEED = 42
-#: Fingerprints of a bucket that one task compares with each other or with as many others.
-BLOCK = 2048
+#: Fingerprints of a bucket that one task compares with each other or with as many others; blocks from which
+#: on a bucket is cut by further keys.
+BLOCK, CROWD = 2048, 8
+#: Least hashes of a set that are its keys; how often crowded buckets are cut by as many further ones.
+KEYS, DEEPER = 6, 2
 #: Rows that a task gathers before it compares their buckets.
 GATHER = 1 << 15
 #: Shingle hashes that a block of a proposed group holds; 16 MB.
@@ -112,24 +117,6 @@ def exact_masks(bits: int, radius: int, count: int, most: int = 4) -> list[np.nd
     return [np.concatenate([blocks[k] for k in pick]) for pick in combinations(range(radius + m), m)]
 
 
-def meeting(bits: int, radius: int, width: int) -> float:
-    """The chance that two fingerprints at that distance agree on a table of `width` random places."""
-    return prod((bits - radius - k) / (bits - k) for k in range(width))
-
-
-def sampled_masks(bits: int, radius: int, tables: int, count: int, width: int = 16) -> list[np.ndarray]:
-    """Tables of random bit places, one wider for each doubling of the count beyond 2 ** (width + 8).
-
-    Wider tables come in greater number, so that a pair at any distance within the radius meets in
-    some table with at least the chance that `tables` of `width` give it.
-    """
-    wide = width + max(0, count.bit_length() - width - 8)
-    if wide > width and radius:
-        tables = ceil(tables * log1p(-meeting(bits, radius, width)) / log1p(-meeting(bits, radius, wide)))
-    draw = np.random.default_rng(SEED)
-    return [np.sort(draw.choice(bits, wide, replace=False)) for _ in range(tables)]
-
-
 def _planes(rows: np.ndarray) -> np.ndarray:
     """(fingerprints, bytes) to bit planes: (bits, words of 64 fingerprints)."""
     n = -(-len(rows) // 64) * 64
@@ -264,28 +251,42 @@ def fingerprints(docs: DataFrame, n: int = 3, lanes: int = 1) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, fp binary")
 
 
-def fingerprints_and_sets(docs: DataFrame, n: int, lanes: int) -> DataFrame:
-    """doc_id, fp, mark (digest of the set of shingles), size (of that set) of every row of docs (doc_id, text)."""
-    small_batches(docs.sparkSession)
+def _distinct(pieces: Iterable[np.ndarray]) -> np.ndarray:
+    pieces = list(pieces)
+    return np.unique(np.concatenate(pieces)) if pieces else np.zeros(0, np.uint64)
+
+
+def least_hashes(own: np.ndarray, count: int) -> np.ndarray:
+    """The least of a set's hashes under each of `count` mixings; zeros for the empty set."""
+    out = np.full(count, np.iinfo(np.uint64).max if len(own) else 0, np.uint64)
+    salts = np.arange(1, count + 1, dtype=np.uint64) * np.uint64(_GOLDEN)
+    for at in range(0, len(own), 4096):
+        x = own[at : at + 4096, None] ^ salts[None, :]
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out = np.minimum(out, (x ^ (x >> np.uint64(31))).min(axis=0))
+    return out
+
+
+def set_fingerprints(rows: DataFrame, n: int, lanes: int) -> DataFrame:
+    """row, fp, mark (digest of the set of shingles), size (of that set), mins (its least hashes) of rows (row, text)."""
+    small_batches(rows.sparkSession)
+    count = KEYS * (1 + DEEPER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, marks, sizes = [], [], []
+            fps, marks, sizes, mins = [], [], [], []
             for text in b.column(1).to_pylist():
-                pieces = list(shingle_hashes(text, n))
-                own = _distinct(pieces)
-                fps.append(_majority(pieces, lanes))
+                own = _distinct(shingle_hashes(text, n))
+                fps.append(_majority([own], lanes))
                 marks.append(hashlib.md5(own.tobytes()).digest())
                 sizes.append(len(own))
-            yield pa.record_batch([b.column(0), pa.array(fps, pa.binary()), pa.array(marks, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "fp", "mark", "size"])
+                mins.append(least_hashes(own, count).view(np.int64))
+            flat = pa.array(np.concatenate(mins) if mins else np.zeros(0, np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(mins) + 1, dtype=np.int32) * count), flat)
+            yield pa.record_batch([b.column(0), pa.array(fps, pa.binary()), pa.array(marks, pa.binary()), pa.array(sizes, pa.int64()), lists], names=["row", "fp", "mark", "size", "mins"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp binary, mark binary, size long")
-
-
-def _distinct(pieces: Iterable[np.ndarray]) -> np.ndarray:
-    pieces = list(pieces)
-    return np.unique(np.concatenate(pieces)) if pieces else np.zeros(0, np.uint64)
+    return rows.select("row", F.col("text").cast("string").alias("text")).mapInArrow(run, "row long, fp binary, mark binary, size long, mins array<long>")
 
 
 def alike(x: np.ndarray, y: np.ndarray, least: tuple[int, int]) -> bool:
@@ -340,79 +341,73 @@ def alike_forest(sets: list[np.ndarray], least: tuple[int, int]) -> np.ndarray:
     return root
 
 
-def _alike_links(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """(a, b): a spanning forest of the alike pairs in each group, from rows (grp, x, y, node, hashes) sorted by group."""
+def _alike_links(texts: DataFrame, n: int, least: tuple[int, int]) -> DataFrame:
+    """(a, b): a spanning forest of the alike pairs in each group, from rows (grp, x, y, row, text) sorted by group."""
 
-    def compare(nodes: list[int], held: list[bytes]) -> pa.RecordBatch:
-        root = alike_forest([np.frombuffer(h, np.uint64) for h in held], least)
+    def compare(rows: list[int], held: list[np.ndarray]) -> pa.RecordBatch:
+        root = alike_forest(held, least)
         some = np.flatnonzero(root != np.arange(len(root)))
-        node = np.array(nodes, np.int64)
+        node = np.array(rows, np.int64)
         return pa.record_batch([pa.array(node[some]), pa.array(node[root[some]])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, nodes, held = None, [], []
+        last, rows, held = None, [], []
         for b in batches:
-            for grp, x, y, node, hashes in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+            for grp, x, y, row, text in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 if (grp, x, y) != last:
-                    if len(nodes) > 1:
-                        yield compare(nodes, held)
-                    last, nodes, held = (grp, x, y), [], []
-                nodes.append(node)
-                held.append(hashes)
-        if len(nodes) > 1:
-            yield compare(nodes, held)
+                    if len(rows) > 1:
+                        yield compare(rows, held)
+                    last, rows, held = (grp, x, y), [], []
+                rows.append(row)
+                held.append(_distinct(shingle_hashes(text, n)))
+        if len(rows) > 1:
+            yield compare(rows, held)
 
-    return sets.mapInArrow(run, "a long, b long")
+    return texts.select("grp", "x", "y", "row", "text").mapInArrow(run, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, n: int, lanes: int, radius: int, tables: int, least: tuple[int, int], width: int = 16) -> DataFrame:
-    """Of doc_id, text: doc_id, component_id (least doc_id reachable over alike pairs).
+def similar_documents(docs: DataFrame, n: int, lanes: int, radius: int, least: tuple[int, int], cuts: Cuts) -> DataFrame:
+    """Of row (a unique number), text: row, component_row (least row reachable over alike pairs).
 
-    Fingerprints within the radius only propose groups. Inside a group the sets of shingles decide:
-    a link joins documents whose Jaccard similarity is at least least[0] / least[1]. Equal sets
-    always link and are compared once. A large group is cut into blocks, as crowded buckets are.
+    Candidates have a least hash in common, those whose fingerprints are within the radius make
+    proposed groups, and inside a group the sets of shingles decide: a link joins texts whose Jaccard
+    similarity is at least least[0] / least[1]. Equal sets always link and are compared once. A large
+    group is cut into blocks, as crowded buckets are.
     """
     spark = docs.sparkSession
-    cuts = Cuts(spark, "similar")
-    marked = cuts.write(fingerprints_and_sets(docs, n, lanes).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID))))
-    classes = cuts.write(marked.groupBy("fp").agg(F.min("doc_id").alias("node")).select("node", "fp"))
-    small_batches(spark, 4096)
-    masks = sampled_masks(64 * lanes, radius, tables, classes.count(), width)
-    proposed = components(cuts.write(links(classes, radius, masks, cuts)), cuts)
-    group_of = classes.join(proposed, "node", "left").select("fp", F.coalesce("root", "node").alias("grp"))
-    reps = cuts.write(marked.groupBy("mark").agg(F.min("doc_id").alias("node"), F.first("size").alias("size")))
-    placed = marked.select("fp", "mark").distinct().join(group_of, "fp").select("grp", "mark").distinct().join(reps, "mark")
-    placed = cuts.write(placed.where("size > 0").select("grp", "mark", "node", "size"))
-    crowd = placed.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / GATHER_HASHES)).cast("int").alias("blocks")
-    wanted = cuts.write(placed.join(crowd.select("grp", blocks), "grp"))
-    small_batches(spark)
-    whole = _sets(docs, wanted.select(F.col("node").alias("doc_id")).distinct(), n)
-    held = cuts.write(whole.join(wanted.select("grp", "blocks", "mark", "node"), ["mark", "node"]).dropDuplicates(["grp", "mark"]))
-    own = F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int")
-    dealt = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("grp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "hashes")
-    dealt = dealt.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y")
-    roots = components(cuts.write(_alike_links(dealt, least)), cuts)
-    out = marked.join(reps.select("mark", "node"), "mark").join(roots, "node", "left").withColumn("component_id", F.coalesce("root", "node"))
-    shown = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c)).alias(c)
-    return out.select(shown("doc_id"), shown("component_id"))
-
+    marked = cuts.write(set_fingerprints(docs, n, lanes))
+    classes = marked.groupBy("mark").agg(F.min("row").alias("node"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("mins").alias("mins"))
+    classes = cuts.write(classes)
+    some = classes.where("size > 0").select("node", "fp", "mins")
 
-def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """node, mark, hashes (the sorted set of shingles) of the documents with these ids."""
+    def keys(rows: DataFrame, level: int) -> DataFrame:
+        """A row for each of the level's least hashes."""
+        own = F.explode(F.transform(F.slice("mins", 1 + level * KEYS, KEYS), lambda m, k: F.struct((F.lit(level * KEYS) + k).alias("tab"), m.alias("least"))))
+        return rows.withColumn("m", own).select(F.xxhash64("key", "m.tab", "m.least").alias("key"), F.col("m.tab").cast("int").alias("via"), "node", "fp")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [_distinct(shingle_hashes(x, n)).tobytes() for x in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array([hashlib.md5(m).digest() for m in made], pa.binary()), pa.array(made, pa.binary())], names=["node", "mark", "hashes"])
+    def deeper(rows: DataFrame, level: int) -> DataFrame | None:
+        if level > DEEPER:
+            return None
+        return keys(rows.select("key", "node").join(some.hint("merge"), "node"), level)
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(ids, "doc_id", "left_semi").mapInArrow(run, "node long, mark binary, hashes binary")
+    small_batches(spark, 4096)
+    first = keys(some.withColumn("key", F.lit(0).cast("long")), 0)
+    proposed = components(cuts.write(links(first, radius, cuts, deeper)), cuts)
+    grouped = cuts.write(classes.select("node", "size").join(proposed.hint("merge"), "node").select("node", "size", F.col("root").alias("grp")))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / GATHER_HASHES)).cast("int").alias("blocks")
+    sizes = cuts.write(grouped.groupBy("grp").agg(blocks))  # written, so that a large group's rows can be split in the join
+    wanted = cuts.write(grouped.join(sizes.hint("merge"), "grp").select(F.col("node").alias("row"), "grp", "blocks"))
+    small_batches(spark)
+    texts = among(docs.select("row", F.col("text").cast("string").alias("text")), wanted, "row")
+    dealt = _in_blocks(texts, "row").select("grp", "x", "y", "row", "text").repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y")
+    roots = components(cuts.write(_alike_links(dealt, n, least)), cuts)
+    cuts.only(marked, classes, roots)
+    of_class = classes.select("mark", "node").join(roots.hint("merge"), "node", "left").select("mark", F.coalesce("root", "node").alias("component_row"))
+    return marked.select("row", "mark").join(of_class.hint("merge"), "mark").select("row", "component_row")
 
 
 def _keyed(classes: DataFrame, masks: list[np.ndarray]) -> DataFrame:
-    """A row per class and table: tab, key, node, fp."""
+    """A row per class and table: key, via (the table), node, fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -421,33 +416,88 @@ def _keyed(classes: DataFrame, masks: list[np.ndarray]) -> DataFrame:
             rows = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
             bits = np.unpackbits(rows, axis=1, bitorder="little")
             keys = []
-            for mask in masks:
+            for tab, mask in enumerate(masks):
                 packed = np.zeros((b.num_rows, 8), np.uint8)
                 some = np.packbits(bits[:, mask], axis=1, bitorder="little")
                 packed[:, : some.shape[1]] = some
-                keys.append(packed.view(np.int64).reshape(-1))
+                keys.append(_in_table(packed.view(np.uint64).reshape(-1), np.uint64(tab)))
             at = np.repeat(np.arange(b.num_rows), len(masks))
-            yield pa.record_batch([pa.array(np.tile(np.arange(len(masks), dtype=np.int32), b.num_rows)), pa.array(np.stack(keys, axis=1).reshape(-1)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], names=["tab", "key", "node", "fp"])
+            yield pa.record_batch([pa.array(np.stack(keys, axis=1).reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(len(masks), dtype=np.int32), b.num_rows)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], names=["key", "via", "node", "fp"])
+
+    return classes.select("node", "fp").mapInArrow(run, "key long, via int, node long, fp binary")
 
-    return classes.select("node", "fp").mapInArrow(run, "tab int, key long, node long, fp binary")
 
+def _in_table(key: np.ndarray, tab) -> np.ndarray:
+    """Keys of one table, made unlike those of others; a chance meeting only adds a comparison."""
+    x = key ^ (np.asarray(tab, np.uint64) + np.uint64(1)) * np.uint64(_GOLDEN)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(27))
 
-def links(classes: DataFrame, radius: int, masks: list[np.ndarray], cuts: Cuts) -> DataFrame:
-    """(a, b): a spanning forest of the links in each bucket, from classes (node, fp distinct)."""
-    keyed = cuts.write(_keyed(classes, masks))
-    crowded = keyed.groupBy("tab", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    # written first: its measured size then decides whether `keyed` must be shuffled for the join
-    crowded = cuts.write(crowded.select("tab", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    placed = keyed.join(crowded, ["tab", "key"], "left").fillna(1, ["blocks"])
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("tab", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "fp")
-    dealt = placed.repartition("tab", "key", "x", "y").sortWithinPartitions("tab", "key", "x", "y")
 
-    def compare(tabs, keys, xs, ys, nodes, fps) -> pa.RecordBatch:
-        tab, key, x, y = (np.concatenate(v) for v in (tabs, keys, xs, ys))
+def _rekeyed(rows: DataFrame, masks: list[np.ndarray], radius: int) -> DataFrame:
+    """Rows of crowded buckets under further keys: the places that their table's mask left, in radius + 1
+    parts, of which two fingerprints within the radius agree on one at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            old, via = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
+            bits = np.unpackbits(np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")
+            keys = np.zeros((b.num_rows, radius + 1), np.uint64)
+            for tab in np.unique(via):
+                here = np.flatnonzero(via == tab)
+                left = np.setdiff1d(np.arange(bits.shape[1]), masks[tab])
+                for part, places in enumerate(np.array_split(left, radius + 1)):
+                    packed = np.zeros((len(here), -(-len(places) // 64) * 8), np.uint8)
+                    some = np.packbits(bits[np.ix_(here, places)], axis=1, bitorder="little")
+                    packed[:, : some.shape[1]] = some
+                    key = _in_table(old[here], part)
+                    for word in packed.view(np.uint64).T:
+                        key = _in_table(key ^ word, part)
+                    keys[here, part] = key
+            at = pa.array(np.repeat(np.arange(b.num_rows), radius + 1))
+            yield pa.record_batch([pa.array(keys.reshape(-1).view(np.int64)), b.column(1).take(at), b.column(2).take(at), b.column(3).take(at)], names=["key", "via", "node", "fp"])
+
+    return rows.select("key", "via", "node", "fp").mapInArrow(run, "key long, via int, node long, fp binary")
+
+
+def _in_blocks(rows: DataFrame, by: str) -> DataFrame:
+    """Rows with x, y: each once for every pair of blocks that its own block (by hash) is part of."""
+    own = F.pmod(F.xxhash64(by), F.col("blocks")).cast("int")
+    placed = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("own", "other")
+
+
+def links(keyed: DataFrame, radius: int, cuts: Cuts, deeper=None) -> DataFrame:
+    """(a, b): a spanning forest of the links in each bucket, from rows (key, via, node, fp).
+
+    deeper(rows, level) gives the rows of crowded buckets under further keys, None where there are none.
+    """
+    ready, level = [], 0
+    while True:
+        keyed = cuts.write(keyed)
+        # written first, so that the plans don't hang on what is guessed of their sizes
+        crowd = cuts.write(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+        if crowd.isEmpty():
+            ready.append(keyed.withColumn("blocks", F.lit(1)))
+            break
+        placed = keyed.join(crowd.hint("merge"), "key", "left").fillna(1, ["blocks"])
+        level += 1
+        more = deeper(placed.where(F.col("blocks") > CROWD).drop("blocks"), level) if deeper else None
+        ready.append(placed if more is None else placed.where(F.col("blocks") <= CROWD))
+        if more is None:
+            break
+        keyed = more
+    placed = ready[0].select("key", "blocks", "node", "fp")
+    for x in ready[1:]:
+        placed = placed.union(x.select("key", "blocks", "node", "fp"))
+    dealt = _in_blocks(placed, "node").select("key", "x", "y", "node", "fp").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+    def compare(keys, xs, ys, nodes, fps) -> pa.RecordBatch:
+        key, x, y = (np.concatenate(v) for v in (keys, xs, ys))
         node = np.concatenate(nodes)
-        new = (tab[1:] != tab[:-1]) | (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        new = (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
         group = np.concatenate([[0], np.cumsum(new)])
         rows = np.frombuffer(b"".join(fps), np.uint8).reshape(len(node), -1)
         starts = np.flatnonzero(np.r_[True, new])
@@ -464,39 +514,38 @@ def links(classes: DataFrame, radius: int, masks: list[np.ndarray], cuts: Cuts)
         return pa.record_batch([pa.array(node[some]), pa.array(node[root[some]])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [[] for _ in range(6)], 0, None
+        held, size, last = [[] for _ in range(5)], 0, None
         for b in batches:
-            cols = [b.column(k).to_numpy() for k in range(5)]
-            fps = b.column(5).to_pylist()
-            new = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1]) | (cols[3][1:] != cols[3][:-1])
+            cols = [b.column(k).to_numpy() for k in range(4)]
+            fps = b.column(4).to_pylist()
+            new = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])
             starts = np.flatnonzero(new) + 1
-            if last is not None and last != tuple(c[0] for c in cols[:4]):
+            if last is not None and last != tuple(c[0] for c in cols[:3]):
                 starts = np.r_[0, starts]
             at = 0
             if size + b.num_rows > GATHER and len(starts):
                 at = int(starts[-1])
-                for k in range(5):
+                for k in range(4):
                     held[k].append(cols[k][:at])
-                held[5].extend(fps[:at])
+                held[4].extend(fps[:at])
                 if size + at:
                     yield compare(*held)
-                held, size = [[] for _ in range(6)], 0
-            for k in range(5):
+                held, size = [[] for _ in range(5)], 0
+            for k in range(4):
                 held[k].append(cols[k][at:])
-            held[5].extend(fps[at:])
+            held[4].extend(fps[at:])
             size += b.num_rows - at
-            last = tuple(c[-1] for c in cols[:4])
+            last = tuple(c[-1] for c in cols[:3])
         if size:
             yield compare(*held)
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, n: int = 3, lanes: int = 1, radius: int = 3, tables: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 3, lanes: int = 1, radius: int = 3) -> DataFrame:
     """Of doc_id, text: doc_id, fp binary, component_id (least doc_id reachable over links).
 
-    A link joins fingerprints that differ in `radius` bits at most. Without `tables` none is lost;
-    with it, that many tables of sampled bits look for them (see `sampled_masks`).
+    A link joins fingerprints that differ in `radius` bits at most; none is lost.
     """
     spark = docs.sparkSession
     cuts = Cuts(spark, "simhash")
@@ -504,12 +553,17 @@ def near_duplicates(docs: DataFrame, n: int = 3, lanes: int = 1, radius: int = 3
     small_batches(spark, 4096)
     known = marked.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc_id"), "fp")
     classes = cuts.write(known.groupBy("fp").agg(F.min("doc_id").alias("node")).select("node", "fp"))
-    count = classes.count()
-    masks = exact_masks(64 * lanes, radius, count) if tables is None else sampled_masks(64 * lanes, radius, tables, count)
-    found = cuts.write(links(classes, radius, masks, cuts))
+    masks = exact_masks(64 * lanes, radius, classes.count())
+    found = cuts.write(links(_keyed(classes, masks), radius, cuts, lambda rows, level: _rekeyed(rows, masks, radius) if level == 1 else None))
+    # a document with several texts links them all
+    twice = known.join(classes, "fp").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    many = known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("a"))
+    if not many.isEmpty():
+        found = found.union(twice.join(many, "a").select("a", "b"))
     roots = components(found, cuts)
     placed = classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     small_batches(spark)
+    cuts.only(marked, classes, roots)
     back = F.when(F.col("component_id") != _NULL_ID, F.col("component_id"))
     return marked.join(placed, "fp").select("doc_id", "fp", back.alias("component_id"))
 

@@ -116,6 +116,45 @@ def test_flow_is_cheapest():
         assert spent == best
 
 
+def test_flow_of_many_patterns():
+    rng, patterns = np.random.default_rng(40), {}
+    while len(patterns) < 20_000:
+        patterns[tuple(sorted({f"s{k}" for k in rng.integers(0, 500, int(rng.integers(1, 5)))}))] = int(rng.integers(1, 900))
+    sizes = {}
+    for p, words in patterns.items():
+        for s in p:
+            sizes[s] = sizes.get(s, 0) + words
+    scale = sum(patterns.values()) / sum(sizes.values())
+    targets = {s: t * scale for s, t in mixing.targets_of(sizes).items()}
+    got = mixing.route(patterns, targets)
+    given = {s: 0 for s in targets}
+    for p, x in got.items():
+        assert sum(x.values()) <= 3 * patterns[p]
+        for s, n in x.items():
+            given[s] += n
+    assert sum(abs(given[s] - round(targets[s])) for s in targets) <= 0.001 * sum(targets.values())
+
+
+@pytest.mark.parametrize("copies", [1, 40, 3000])
+def test_mix_divides_repeated_rows(spark, copies):
+    """Rows of one doc_id and size: as many as fit are taken, not all or none."""
+    rows = [(1, 10, ["hot"])] * copies + [(2, 10, ["b"])] * 40 + [(k, 7, ["c"]) for k in range(100, 400)] + [(None, 9, ["c"]), (None, None, ["c"]), (None, 9, ["c"])]
+    df = spark.createDataFrame(rows, "doc_id long, size long, sources array<string>").withColumn("edge", F.lit("clash")).withColumn("h", F.lit(1))
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows) and all(r["taken"] <= 3 * r["size"] for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r["sources"][0], [0, r["target"]])[0] += r["taken"]
+    assert all(abs(taken - target) <= 10 for taken, target in by.values()), by
+
+
+def test_taken_carries_columns(spark):
+    rows = [(k % 3, f"text {k}", k % 5, ["a" if k % 2 else "b"]) for k in range(200)] + [(0, "same", 4, ["a"])] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, size long, sources array<string>").withColumn("rest", F.lit("mine"))
+    got = mixing.taken(df.withColumnRenamed("rest", "own"), ["doc_id", "text"]).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted((r[0], r[1]) for r in rows) and got[0]["own"] == "mine"
+
+
 def test_mix_meets_targets(spark):
     rng = np.random.default_rng(4)
     rows = [(k, int(rng.integers(1, 400)) if k % 50 else 0, [None if k % 7 == 0 else f"s{k % 7}"]) for k in range(3000)] + [(9000, 50, []), (9001, 60, None), (9002, 10, ["solo"])]
@@ -426,20 +465,20 @@ def test_simhash_equals_brute_force(spark, odd):
     assert {r["component_id"] for r in simhash.near_duplicates(same).collect()} == {None}
 
 
-@pytest.mark.parametrize("block", [2048, 16])
-def test_crowded_buckets_lose_no_link(spark, block, monkeypatch):
+@pytest.mark.parametrize(("block", "crowd"), [(2048, 8), (16, 100), (8, 2)])
+def test_crowded_buckets_lose_no_link(spark, block, crowd, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "CROWD", crowd)
     rng = np.random.default_rng(11)
     centres = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
     values = {int(c) ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 5)), replace=False)) for c in centres for _ in range(60)}
     fps = dict(enumerate(sorted(values)))
     classes = spark.createDataFrame([(k, bytearray(int(v).to_bytes(8, "little"))) for k, v in fps.items()], "node long, fp binary")
-    cuts = common.Cuts(spark, "t")
+    cuts, want = common.Cuts(spark, "t"), plain_components(fps, 3)
     for masks in (simhash.exact_masks(64, 3, 10), simhash.exact_masks(64, 3, 1 << 30)):
-        found = simhash.links(classes, 3, masks, cuts)
-        assert all((fps[r["a"]] ^ fps[r["b"]]).bit_count() >= 0 for r in found.take(5))
+        deeper = lambda rows, level, masks=masks: simhash._rekeyed(rows, masks, 3) if level == 1 else None
+        found = simhash.links(simhash._keyed(classes, masks), 3, cuts, deeper)
         roots = {r["node"]: r["root"] for r in common.components(found, cuts).collect()}
-        want = plain_components(fps, 3)
         assert {k: roots.get(k, k) for k in fps} == want
 
 
@@ -475,16 +514,71 @@ def test_long_texts_of_few_words(n, monkeypatch):
     assert [simhash.fingerprint(t, n) for t in texts] == whole
 
 
-@pytest.mark.parametrize("radius", [45, 57])
-def test_sampled_tables_find_as_much_at_any_count(radius):
-    def found(masks, far):
-        return 1 - (1 - simhash.meeting(256, far, len(masks[0]))) ** len(masks)
+def jaccard_sets(rng, size, similarity):
+    both = round(2 * size * similarity / (1 + similarity))
+    drawn = rng.integers(0, 1 << 63, 2 * size - both, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.unique(drawn[:size]), np.unique(drawn[size - both :])
 
-    few = simhash.sampled_masks(256, radius, 40, 1 << 20)
-    assert len(few) == 40 and len(few[0]) == 16
-    for count in (1 << 24, 1 << 26, 1 << 29, 1 << 33):
-        many = simhash.sampled_masks(256, radius, 40, count)
-        assert all(found(many, far) >= found(few, far) - 1e-12 for far in range(1, radius + 1))
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.95])
+@pytest.mark.parametrize("size", [40, 300])
+def test_similar_sets_become_candidates(size, similarity):
+    """A shared least hash doesn't hang on how many other sets there are, nor does the distance: this recall holds at any count."""
+    rng, found = np.random.default_rng(14), 0
+    for _ in range(300):
+        a, b = jaccard_sets(rng, size, similarity)
+        x, y = (np.frombuffer(simhash._majority([s], 4), np.uint8) for s in (a, b))
+        shared = (simhash.least_hashes(a, simhash.KEYS) == simhash.least_hashes(b, simhash.KEYS)).any()
+        found += bool(shared) and int(np.bitwise_count(x ^ y).sum()) <= 57
+    assert found >= 0.97 * 300
+
+
+def test_least_hashes_agree_as_often_as_sets():
+    rng, same = np.random.default_rng(15), []
+    for _ in range(200):
+        a, b = jaccard_sets(rng, 200, 0.8)
+        same.append((simhash.least_hashes(a, 18) == simhash.least_hashes(b, 18)).mean())
+    assert np.mean(same) == pytest.approx(0.8, abs=0.02) and not simhash.least_hashes(np.zeros(0, np.uint64), 6).any()
+
+
+@pytest.mark.parametrize(("block", "crowd", "hashes"), [(2048, 8, 1 << 21), (4, 2, 1 << 21), (8, 1, 500)])
+def test_similar_documents_equal_brute_force(spark, odd, block, crowd, hashes, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "GATHER_HASHES", hashes)
+    rng, texts = np.random.default_rng(16), [*odd, "", "  ", *odd[:3]]
+    shared = prose(rng, 60)
+    for k in range(12):
+        words = prose(rng, 100).split()
+        texts += [" ".join(words), " ".join([*words[: 100 - 4 * k], *prose(rng, 4 * k).split()]), f"{prose(rng, 50)} {shared} {k}"]
+    sets = [{tuple((t or "").lower().split()[j : j + 5]) for j in range(max(1, len((t or "").split()) - 4))} if (t or "").split() else set() for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    got = {r["row"]: r["component_row"] for r in simhash.similar_documents(df, 5, 4, 57, (4, 5), common.Cuts(spark, "t")).collect()}
+    assert got == dict(enumerate(root))
+
+
+def test_sieve_and_among(spark):
+    ids = spark.range(0, 4000, 7).select(F.col("id").alias("k"))
+    rows = spark.range(-50, 5000).select(F.col("id").alias("k"), F.lit("t").alias("text"))
+    test = common.sieve(ids)
+    passed = {r["k"] for r in rows.where(test("k")).collect()}
+    inside = set(range(0, 4000, 7))
+    assert inside <= passed and len(passed) < 900 and common.sieve(ids, 5) is None
+    for bits in (26, 5):
+        monkey = common.sieve
+        common.sieve = lambda x, bits=bits, f=monkey: f(x, bits)
+        try:
+            assert {r["k"] for r in common.among(rows, ids, "k").collect()} == inside
+            assert {r["k"] for r in common.among(rows, ids, "k", "left_anti").collect()} == set(range(-50, 5000)) - inside
+            assert common.among(rows, ids.limit(0), "k").count() == 0 and common.among(rows, ids.limit(0), "k", "left_anti").count() == 5050
+        finally:
+            common.sieve = monkey
 
 
 # 10. Pieces.
