@@ -6,9 +6,9 @@ elsewhere are picked greedily, each time the one that explains the most toxic do
 explained (a cue counts from its first, second or fourth token on, whichever separates best); the
 tokens in toxic documents that have a picked cue are the toxic tokens. Of documents that share most word pairs one stands for all, with their commoner label, and a
 cue must stand in so many toxic documents that chance and mislabelled ones don't explain it. The
-field has two states and learns by Adam on its exact likelihood: weights of the
-cues of forms and of the transitions. A form is a lower-cased token without
-punctuation at its ends.
+field has two states and learns by Adam on its exact likelihood, whose gradient is the difference of
+expected and labelled counts of cues and of pairs of neighbours: weights of the cues of forms and of
+the transitions. A form is a lower-cased token without punctuation at its ends.
 
 Scoring runs forward and backward over each whole text. With two states a message is one ratio and a
 step is a Moebius map, so texts are cut into blocks whose maps are composed side by side, the blocks
@@ -16,12 +16,14 @@ of a text are chained, and the tokens of all blocks are filled in side by side:
 for long texts too. A document's score is a logistic function of its greatest token log-odds and the
 expected number of toxic tokens; offending offsets are runs of tokens with a marginal of 1/2 or more.
 
-The sample is the `SAMPLE_DOCS` labelled documents of least hash that have `SAMPLE_CHARS` characters
-or fewer; it alone reaches the driver. Everything else covers all rows.
+The sample is those of the `SAMPLE_DOCS` labelled documents of least hash that have `SAMPLE_CHARS`
+characters or fewer; it alone reaches the driver. Cues are picked and the logistic function is fitted on
+all of it, the field's weights on `FIT_DOCS` documents of either kind at most. Everything else covers all rows.
 
 Cases: null and empty texts have no tokens and the score of such a document; without labels of both
-kinds all documents score the share of toxic labels, or 0; labels that are null are left out; equal
-rows score equally; an empty table gives no rows; lang, source and doc_id are never inputs.
+kinds all documents score the share of toxic labels, or 0; labels that are null are left out, and of
+several labels of a document a toxic one counts; of several rows of a labelled doc_id the least text is
+learnt from; equal rows score equally; an empty table gives no rows; lang, source and doc_id are never inputs.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ from pyspark.sql import types as T
 
 from sigframe.llm.common import small_batches
 
-SAMPLE_DOCS, SAMPLE_CHARS = 3_000, 20_000
+SAMPLE_DOCS, SAMPLE_CHARS, FIT_DOCS = 3_000, 20_000, 600
 THRESHOLD = 0.3
 #: Tokens of a block; forms whose emission a worker keeps.
 BLOCK, KEEP_FORMS = 64, 300_000
@@ -92,10 +94,11 @@ def _compose(maps: np.ndarray, backward: bool) -> np.ndarray:
     return out
 
 
-def log_odds(emission: np.ndarray, sizes: np.ndarray, moves: tuple[float, float, float]) -> np.ndarray:
-    """Marginal log-odds of the toxic state at each token of the texts laid end to end."""
+def messages(emission: np.ndarray, sizes: np.ndarray, moves: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Forward (with the token's own potential) and backward ratios of the toxic to the other state at each
+    token of the texts laid end to end; a text begins as after a token that isn't toxic."""
     if not len(emission):
-        return np.zeros(0)
+        return np.zeros(0), np.zeros(0)
     a01, a10, a11 = moves
     blocks = -(-sizes // BLOCK)
     first = np.r_[0, np.cumsum(blocks)][:-1]
@@ -129,7 +132,25 @@ def log_odds(emission: np.ndarray, sizes: np.ndarray, moves: tuple[float, float,
     for k in range(BLOCK - 1, -1, -1):
         behind[k] = b
         b = (backward[0, 0, k] * b + backward[0, 1, k]) / (backward[1, 0, k] * b + backward[1, 1, k])
-    return np.log(np.maximum(ahead * behind, 1e-300)).T.reshape(-1)[place]
+    return ahead.T.reshape(-1)[place], behind.T.reshape(-1)[place]
+
+
+def log_odds(emission: np.ndarray, sizes: np.ndarray, moves: tuple[float, float, float]) -> np.ndarray:
+    """Marginal log-odds of the toxic state at each token of the texts laid end to end."""
+    ahead, behind = messages(emission, sizes, moves)
+    return np.log(np.maximum(ahead * behind, 1e-300))
+
+
+def expected_counts(emission: np.ndarray, sizes: np.ndarray, moves: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """The probability of the toxic state at each token; the expected numbers of pairs O-T, T-O and T-T."""
+    ahead, behind = messages(emission, sizes, moves)
+    first = (np.cumsum(sizes) - sizes)[sizes > 0]
+    before = np.r_[0.0, ahead][:-1]
+    before[first] = 0.0
+    here = np.exp(np.clip(emission, -30, 30)) * behind
+    weights = np.array([np.ones_like(here), moves[0] * here, moves[1] * before, moves[2] * before * here])
+    weights /= weights.sum(axis=0)
+    return weights[1] + weights[3], weights[1:].sum(axis=1)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -201,7 +222,7 @@ def toxic_cues(doc: np.ndarray, cue: np.ndarray, count: np.ndarray, toxic: np.nd
     return picked
 
 
-def train(texts: list[str], toxic: list[bool], rounds: int = 50, most_of_each: int = 600) -> Model:
+def train(texts: list[str], toxic: list[bool], rounds: int = 50, most_of_each: int = FIT_DOCS) -> Model:
     """A model from labelled texts."""
     if not any(toxic) or all(toxic):
         return Model(base=sum(toxic) / len(toxic) if toxic else 0.0)
@@ -265,23 +286,20 @@ def train(texts: list[str], toxic: list[bool], rounds: int = 50, most_of_each: i
     first = np.r_[0, np.cumsum(sizes)][:-1]
     before = np.r_[0.0, y][:-1]
     before[first] = 0.0
+    labelled = np.array([((1 - before) * y).sum(), (before * (1 - y)).sum(), (before * y).sum()])
     del doc, cue_of, count, known, seqs
     weights = [np.zeros(len(vocabulary)), np.array([-4.0]), np.zeros(3)]
     moment = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
     for step in range(1, rounds + 1):
         own, bias, moves = weights
         emission = (np.bincount(owner, own[cue], len(words)) + bias[0])[seq]
-        p = _sigmoid(log_odds(emission, sizes, tuple(np.exp(moves))))
+        p, pairs = expected_counts(emission, sizes, tuple(np.exp(moves)))
         miss = p - y
         by_word = np.bincount(seq, miss, len(words))
-        # the marginals of neighbours stand for those of pairs; transitions are few and weigh little
-        p_before = np.r_[0.0, p][:-1]
-        p_before[first] = 0.0
-        pairs = np.array([((1 - p_before) * p - (1 - before) * y).sum(), (p_before * (1 - p) - before * (1 - y)).sum(), (p_before * p - before * y).sum()])
         gradient = [
             np.bincount(cue, by_word[owner], len(vocabulary)) + 0.1 * own,
             np.array([miss.sum()]),
-            pairs + 1.0 * moves,
+            pairs - labelled + 1.0 * moves,
         ]
         for k, g in enumerate(gradient):
             m, v = moment[k]
@@ -367,11 +385,11 @@ def held_out(doc_id: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
     """A model from documents (doc_id, text) and labels (doc_id, toxic) outside the held-out quarter."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out())
-    picked = known.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64(F.lit(3), "label_id"), "toxic").limit(sample_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("label_id"))
-    got = rows.where(F.length("text") <= sample_chars).select("doc_id", "text", "toxic").collect()
-    got.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), r["text"]))
-    got = got[: 2 * sample_docs]
+    known = known.groupBy(F.col("doc_id").alias("label_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    picked = known.orderBy(F.xxhash64(F.lit(3), "label_id"), "label_id").limit(sample_docs)
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")).where(F.length("text") <= sample_chars)
+    got = rows.groupBy("label_id", "toxic").agg(F.min("text").alias("text")).collect()  # a row per label at most
+    got.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["label_id"])), r["text"]))
     return train([r["text"] for r in got], [r["toxic"] == 1 for r in got])
 
 
