@@ -41,8 +41,8 @@ def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def private_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with pseudonyms for personal numbers and dates."""
-    changed = pii.pseudonymise_texts(docs.select(*COLUMNS)).drop("pii_kinds")
+    """Documents with pseudonyms for personal numbers and dates, under the session's key."""
+    changed = pii.pseudonymise_texts(docs.select(*COLUMNS), pii.session_key(spark)).drop("pii_kinds")
     return changed.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long")).select(*COLUMNS)
 
 

@@ -1,10 +1,18 @@
 """Format-preserving pseudonyms: personal numbers and dates are permuted within their format.
 
-Each value found is validated (checksum, ranges, calendar) and mapped by a keyed Feistel
-permutation of all values of its format: digits stay digits, punctuation and length stay, a card
-number keeps its first digit and gets a fitting check digit, a date stays a real date of the years
-1900 to 2099 in the same notation. The key alone decides, so equal values get equal pseudonyms in
-all documents and stay linked, and different ones never meet.
+Each value found is validated (checksum, ranges, calendar) and brought to a normal form: the digits
+of a card, the compact IBAN, the country code and national number of a phone (ten digits without a
+country code are taken for +1), the day of a date, the lower-cased email or secret. The normal form is
+mapped by a keyed Feistel permutation of all values of its kind and length and written in the notation
+found: separators and length stay, a card number keeps its first digit and gets a fitting check digit,
+a phone its country code, a date stays a real date of the years 1900 to 2099. So all notations of a value get one pseudonym in all
+documents and stay linked, and different values never meet. A date whose notation would then be read
+otherwise (day and month both up to 12) is written with the separator that keeps its order: dots for
+day first, slashes for month first.
+
+The key comes from the caller; who has it can invert the pseudonyms. `session_key` reads it from the
+setting `spark.sigframe.pseudonymKey`; where that is unset, each session draws its own, and only values of
+that session stay linked.
 
 Kinds: ``card`` (13-19 digits, Luhn), ``iban`` (mod 97), ``phone`` (8-15 digits with a plus,
 brackets or separators), ``ssn`` (3-2-4 digits), ``ip`` (four octets), ``date`` (year first, day
@@ -13,28 +21,39 @@ first or month first, years 1900-2099), ``email`` (letters and digits of the loc
 are not card numbers and stay.
 
 Cases: null texts stay null; empty texts stay empty; a value that fails its validation stays as it
-is; overlapping finds go to the first, then to the earlier kind in the order above; a permutation
-may by chance map a value to itself (for dates once in 73,000). Rows of equal text get equal results; other columns are carried along.
+is; overlapping finds go to the first, then to the earlier kind in the order above; four octets next to a
+word for a version are not an address; a permutation
+may by chance map a value to itself (for dates once in 73,000). Rows of equal text get equal results; other columns are carried along;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import re
+import secrets
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigframe.llm.common import small_batches
 from sigframe.llm.feistel import permute_digits, permute_range
 
-DEFAULT_KEY = b"sigframe-pseudonyms"
+KEY_SETTING = "spark.sigframe.pseudonymKey"
 KINDS = ("card", "iban", "phone", "ssn", "ip", "date", "email", "secret")
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 KEEP_VALUES = 100_000
+#: Country codes of one and two digits (fixed values of the numbering plan); all others have three.
+SHORT_CODES = ("1", "7")
+TWO_DIGIT_CODES = (
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+).split()
+_VERSION_BEFORE = re.compile(r"(?:\b(?:version|release|build|ver|rev|v)\.?\s*)$", re.IGNORECASE)
+_VERSION_AFTER = re.compile(r"\s+(?:version|release|build)\b", re.IGNORECASE)
+_drawn: dict[str, bytes] = {}
 
 #: Where a number can be; only there is the long pattern tried, in its order.
 _ISLAND = re.compile(r"[+(0-9][0-9 ().+/-]{5,}")
@@ -76,10 +95,23 @@ def iban_ok(text: str) -> bool:
     return 15 <= len(compact) <= 34 and _iban_rest(compact) == 1
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session is set to, else one drawn for it."""
+    found = spark.conf.get(KEY_SETTING, None)
+    return found.encode() if found else _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
+def country_code(digits: str) -> str:
+    """The country code that an international number begins with."""
+    return next((c for c in (digits[:1], digits[:2]) if c in SHORT_CODES or c in TWO_DIGIT_CODES), digits[:3])
+
+
 class Pseudonyms:
-    """Maps values; `back` inverts it with the same key."""
+    """Maps values; `back` inverts it with the same key (a date may come back with another separator)."""
 
-    def __init__(self, key: bytes = DEFAULT_KEY, back: bool = False):
+    def __init__(self, key: bytes, back: bool = False):
+        if not key:
+            raise ValueError("pseudonyms need a key")
         self.key, self.back = key, back
         self.kept: dict[tuple[str, str], str] = {}
 
@@ -105,9 +137,16 @@ class Pseudonyms:
         return self._digits(text, with_check_digit([digits[0], *middle]))
 
     def phone(self, text: str) -> str:
-        """The country code after a plus stays."""
-        head = (m := re.match(r"\+\d{1,3}(?=[ .(-])", text)) and m[0] or ""
-        return head + self._symbols(text[len(head) :], "phone", head)
+        """Country code and a (0) after it stay; the national number is permuted."""
+        trunk = re.search(r"(?<=[0-9 ])\(0\)", text) if text[0] == "+" else None
+        digits = "".join(c for k, c in enumerate(text) if c.isdigit() and not (trunk and trunk.start() <= k < trunk.end()))
+        code = country_code(digits) if text[0] == "+" else "1" if len(digits) == 10 else ""
+        own = digits[len(code) :] if text[0] == "+" else digits
+        if len(own) < 2:
+            raise ValueError(text)
+        made = permute_digits([int(c) for c in own], [10] * len(own), self.key, f"phone|{code}|{len(own)}".encode(), self.back)
+        left = iter([*map(int, digits[: len(digits) - len(own)]), *made])
+        return "".join(str(next(left)) if c.isdigit() and not (trunk and trunk.start() <= k < trunk.end()) else c for k, c in enumerate(text))
 
     def ssn(self, text: str) -> str:
         return self._symbols(text, "ssn")
@@ -129,8 +168,10 @@ class Pseudonyms:
         return out if text == lower else out.upper()
 
     def email(self, text: str) -> str:
+        """The local part is permuted without regard to case, and cased as it was found."""
         local, at, domain = text.rpartition("@")
-        return self._symbols(local, "email", domain.lower()) + at + domain
+        made = self._symbols(local.lower(), "email", domain.lower())
+        return "".join(n.upper() if c.isupper() else n for c, n in zip(local, made, strict=True)) + at + domain
 
     def date(self, text: str) -> str:
         """A text of three numbers; which one is the year and which the day is read from it."""
@@ -145,14 +186,12 @@ class Pseudonyms:
         if not FIRST_DAY <= day <= LAST_DAY:
             raise ValueError(text)
         narrow = any(len(p) == 1 for p in parts[::2])
-        over_12 = order != "ymd" and (parts[1] == "/") == (order == "dmy")  # only such a day shows the order
-        while True:
-            day = FIRST_DAY + permute_range(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, self.key, b"date", self.back)
-            new = dt.date.fromordinal(day)
-            if not over_12 or new.day > 12:
-                break
+        day = FIRST_DAY + permute_range(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, self.key, b"date", self.back)
+        new, mark = dt.date.fromordinal(day), parts[1]
+        if order != "ymd" and new.day <= 12 and (mark == "/") == (order == "dmy"):  # it would be read the other way
+            mark = "." if order == "dmy" else "/"
         fields = {"y": f"{new.year:04d}", "m": f"{new.month}" if narrow else f"{new.month:02d}", "d": f"{new.day}" if narrow else f"{new.day:02d}"}
-        return parts[1].join(fields[x] for x in order)
+        return mark.join(fields[x] for x in order)
 
     def of(self, kind: str, text: str) -> str | None:
         """The pseudonym, or None where the value doesn't pass its kind's check."""
@@ -187,6 +226,8 @@ def find_values(text: str) -> list[tuple[int, int, str]]:
     for island in _ISLAND.finditer(text):
         for m in _NUMBER.finditer(text, island.start(), min(len(text), island.end() + 1)):
             kind = next(k for k in ("ip", "iso", "dmy", "phone", "ssn", "card") if m[k])
+            if kind == "ip" and (_VERSION_BEFORE.search(text, max(0, m.start() - 12), m.start()) or _VERSION_AFTER.match(text, m.end())):
+                continue
             found.append((m.start(), m.end(), "date" if kind in ("iso", "dmy") else kind))
     for m in _SECRET.finditer(text):
         if not text[max(0, m.start() - 1) : m.start()].isalnum() and not text[m.end() : m.end() + 1].isalnum():
@@ -231,8 +272,9 @@ def pseudonymise(text: str, names: Pseudonyms) -> tuple[str, list[str]]:
     return ("".join([*out, text[at:]]), kinds) if kinds else (text, kinds)
 
 
-def pseudonymise_texts(df: DataFrame, key: bytes = DEFAULT_KEY, text: str = "text") -> DataFrame:
-    """`df` with its text column replaced, and pii_kinds array<string>: what was replaced, in order."""
+def pseudonymise_texts(df: DataFrame, key: bytes, text: str = "text") -> DataFrame:
+    """`df` with its text column replaced under the key, and pii_kinds array<string>: what was replaced, in order."""
+    Pseudonyms(key)  # refuses an empty key here already
     small_batches(df.sparkSession)
     keep = [c for c in df.columns if c != "pii_kinds"]
     at = keep.index(text)

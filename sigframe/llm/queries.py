@@ -59,7 +59,7 @@ def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal numbers and dates permuted within their formats."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise_texts(docs).select("doc_id", F.size("pii_kinds").alias("n_values"), "pii_kinds", "text")
+    return pii.pseudonymise_texts(docs, pii.session_key(spark)).select("doc_id", F.size("pii_kinds").alias("n_values"), "pii_kinds", "text")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,7 +54,7 @@ def test_stages(spark, corpus):
     assert len(bad & set(toxic)) <= 2 and len({r[0] for r in rows} - bad - set(toxic)) <= 2
     assert not any(k in once for k in range(1000, 1020)) and sum(k in once for k in range(2000, 2020)) <= 1
     assert {k for k in toxic if k < 1000 or k >= 3000} - set(once) == {3002}
-    text, kinds = pii.pseudonymise(next(r[1] for r in rows if r[0] == 3000), pii.Pseudonyms())
+    text, kinds = pii.pseudonymise(next(r[1] for r in rows if r[0] == 3000), pii.Pseudonyms(pii.session_key(spark)))
     assert private[3000]["text"] == text and kinds == ["card"] and private[3000]["n_chars"] == len(text)
     assert set(mixed) <= set(private) and all(mixed[k]["text"] == private[k]["text"] for k in mixed)
     auto = pieces.PieceAutomaton(pieces.load_pieces())
