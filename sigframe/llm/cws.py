@@ -9,12 +9,14 @@ of equal samples estimates it (standard error at most 0.5 / sqrt(SAMPLES)).
 
 The gammas are made from the word's hash alone, nothing is kept per vocabulary, and a fingerprint
 is SAMPLES 32-bit hashes of the pairs in hexadecimal. Documents are put next to each other by a
-range partitioning of doc_id with one borrowed row per part; nothing gathers in one task.
+range partitioning of doc_id with one borrowed row per part. A doc_id (or the lack of one) with more
+rows than a part holds has parts of its own, by the hash of the text, and its equal rows are counted
+first; so nothing gathers in one task.
 
 Cases: a null text counts as empty; the empty weighted set has the all-zero fingerprint and is like
 itself with 1 and like others with 0; equal texts have equal fingerprints; rows with equal doc_id
-are ordered by text, null doc_ids come last; a single row is its own next; an empty table gives no
-rows; a text of any length is read whole, as one row.
+are ordered by a hash of the text, then the text, and null doc_ids come last; a single row is its own
+next; an empty table gives no rows; a text of any length is read whole, as one row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigframe.llm.common import small_batches
+from sigframe.llm.common import Cuts, small_batches
 
 SAMPLES = 128
 #: Parameters of so many words are kept by a worker at once (SAMPLES x 12 bytes each).
 KEEP_WORDS = 24_000
+#: Rows of a part, and how many parts there are at most (they then hold more rows).
+PART_ROWS, MOST_PARTS = 2_000, 1 << 17
+#: Rows that one task writes for equal rows.
+CHUNK = 4096
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -157,32 +163,68 @@ def _above(cuts: list[int], value) -> F.Column:
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * 64 + F.size(F.filter(inside, lambda c: c > value)))
 
 
-def in_descending_parts(docs: DataFrame, rows_per_part: int = 2_000) -> DataFrame:
-    """part, borrowed, doc_id, text: whole parts in one partition, rows by descending doc_id.
+def _hash(text: str = "text") -> F.Column:
+    """A hash of the text from 0 up."""
+    return F.shiftrightunsigned(F.xxhash64(text), 1)
 
-    After its own rows each part has the first row of the following part (of part 0 after the
-    last), borrowed. The driver gets quantiles of doc_id and one doc_id per part, no rows.
+
+def in_descending_parts(docs: DataFrame, rows_per_part: int = PART_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """part, sub, borrowed, doc_id, text: whole parts in one partition, rows by descending doc_id and hash.
+
+    After its own rows each part has the first row of the following part (of the first part after the
+    last), borrowed. The driver gets quantiles of doc_id, the doc_ids with more rows than a part holds,
+    and one row per part. Equal rows of such a doc_id come once; the second table has (doc_id, text, n)
+    of those that come n > 1 times, None where there are none.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = rows.count()
-    parts = min(1 << 17, -(-total // rows_per_part))
-    cuts: list[int] = []
+    parts = min(MOST_PARTS, -(-total // rows_per_part))
+    per = max(rows_per_part, -(-total // MOST_PARTS))
+    cuts: set[int] = set()
     if parts > 1:
         got = rows.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 100_000)).first()[0]
-        cuts = sorted(set(got or []), reverse=True)
-    part = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(_above(cuts, F.col("doc_id"))).cast("int")
-    placed = rows.select(part.alias("part"), "doc_id", "text")
-    heads = sorted((r[0], r[1]) for r in placed.groupBy("part").agg(F.max("doc_id")).collect())
-    before = [(heads[k][0], heads[k - 1][0]) for k in range(len(heads))]  # whose first row, borrowed by whom
-    lent = spark.createDataFrame([(p, to, i) for (p, to), (_, i) in zip(before, heads, strict=True)], "part int, to int, head long")
-    first = placed.join(F.broadcast(lent), "part").where("doc_id <=> head").groupBy("to").agg(F.min(F.struct(F.lit(0), "doc_id", "text")).alias("x"))
-    own = placed.select("part", F.lit(False).alias("borrowed"), "doc_id", "text")
-    every = own.union(first.select(F.col("to").alias("part"), F.lit(True).alias("borrowed"), "x.doc_id", "x.text"))
-    return every.repartition("part").sortWithinPartitions("part", "borrowed", F.col("doc_id").desc_nulls_last(), "text")
-
-
-def fingerprint_with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
+        cuts = set(got or [])
+    hot = {r["doc_id"]: r["n"] for r in rows.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > per).collect()}  # at most total / per
+    again = None
+    if hot:
+        cuts |= {c for v in hot if v is not None for c in (v, min(v + 1, (1 << 63) - 1))}
+        sizes = spark.createDataFrame([(v, -(-n // per)) for v, n in hot.items()], "hot long, subs long")
+        marked = rows.join(F.broadcast(sizes), F.col("doc_id").eqNullSafe(F.col("hot")), "left")
+        counted = Cuts(spark, "cws").write(marked.where("subs IS NOT NULL").groupBy("doc_id", "text", "subs").agg(F.count("*").alias("n")))
+        again = counted.where("n > 1").select("doc_id", "text", "n")
+        rows = marked.where("subs IS NULL").select("doc_id", "text", F.lit(1).cast("long").alias("subs")).union(counted.select("doc_id", "text", "subs"))
+    else:
+        rows = rows.withColumn("subs", F.lit(1).cast("long"))
+    falling = sorted(cuts, reverse=True)
+    part = F.when(F.col("doc_id").isNull(), len(falling) + 1).otherwise(_above(falling, F.col("doc_id"))).cast("int")
+    sub = F.floor(_hash().cast("double") / F.lit(2.0**63) * F.col("subs"))
+    placed = rows.select(part.alias("part"), F.least(sub, F.col("subs") - 1).cast("int").alias("sub"), "doc_id", "text", (-_hash()).alias("less"))
+    heads = sorted((r["part"], r["sub"], r["x"]["doc_id"], r["x"]["less"]) for r in placed.groupBy("part", "sub").agg(F.max(F.struct("doc_id", "less")).alias("x")).collect())
+    lent = spark.createDataFrame([(*heads[k], *heads[k - 1][:2]) for k in range(len(heads))], "part int, sub int, head long, head_less long, to int, to_sub int")
+    first = placed.join(F.broadcast(lent), ["part", "sub"]).where("doc_id <=> head AND less = head_less").groupBy("to", "to_sub").agg(F.min(F.struct("text", "doc_id", "less")).alias("x"))
+    own = placed.select("part", "sub", F.lit(False).alias("borrowed"), "doc_id", "text", "less")
+    every = own.union(first.select(F.col("to").alias("part"), F.col("to_sub").alias("sub"), F.lit(True).alias("borrowed"), "x.doc_id", "x.text", "x.less"))
+    dealt = every.repartition("part", "sub").sortWithinPartitions("part", "sub", "borrowed", F.col("doc_id").desc_nulls_last(), F.col("less").desc(), "text")
+    return dealt.select("part", "sub", "borrowed", "doc_id", "text"), again
+
+
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+_OUT_SQL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def _result(sampler: Sampler, doc_id: int | None, text: str, mark: np.ndarray, after: str, after_mark: np.ndarray) -> tuple:
+    new = edited(text, after)
+    new_mark = sampler.fingerprint(new)
+    digest = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
+    return doc_id, len(text), digest, to_hex(mark), to_hex(new_mark), likeness(mark, new_mark), likeness(mark, after_mark)
+
+
+def _batch(out: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _OUT, strict=True)] if out else [pa.array([], f.type) for f in _OUT], schema=_OUT)
+
+
+def fingerprint_with_edits(docs: DataFrame, samples: int = SAMPLES, rows_per_part: int = PART_ROWS) -> DataFrame:
     """Of doc_id, text: a row per document with its fingerprint, that of its edited text (see
     `edited`; the other text is the next document's in descending doc_id, after the last the
     first's), and the likeness of its fingerprint to the edited text's and to the next document's.
@@ -193,16 +235,26 @@ def fingerprint_with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame
         sampler, before = Sampler(samples), None
         for b in batches:
             out = []
-            for part, borrowed, doc_id, text in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for part, sub, borrowed, doc_id, text in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 mark = sampler.fingerprint(text)
-                if before is not None and before[0] == part:
-                    _, old_id, old, old_mark = before
-                    new = edited(old, text)
-                    new_mark = sampler.fingerprint(new)
-                    digest = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((old_id, len(old), digest, to_hex(old_mark), to_hex(new_mark), likeness(old_mark, new_mark), likeness(old_mark, mark)))
-                before = None if borrowed else (part, doc_id, text, mark)
-            yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
-
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-    return in_descending_parts(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+                if before is not None and before[:2] == (part, sub):
+                    out.append(_result(sampler, *before[2:], text, mark))
+                before = None if borrowed else (part, sub, doc_id, text, mark)
+            yield _batch(out)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler = Sampler(samples)
+        for b in batches:
+            marks = [(i, t, sampler.fingerprint(t)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            made = _batch([_result(sampler, i, t, m, t, m) for i, t, m in marks])
+            yield pa.record_batch([*made.columns, b.column(2)], names=[*_OUT.names, "n"])
+
+    dealt, again = in_descending_parts(docs, rows_per_part)
+    out = dealt.mapInArrow(run, _OUT_SQL)
+    if again is None:
+        return out
+    # of equal rows each but one is followed by its like; they are written out in chunks by many tasks
+    once = again.mapInArrow(alone, f"{_OUT_SQL}, n long")
+    chunks = once.withColumn("at", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long")))).repartition("doc_id", "fingerprint", "at")
+    copies = chunks.withColumn("k", F.explode(F.sequence("at", F.least(F.col("at") + CHUNK - 1, F.col("n") - 1))))
+    return out.union(copies.select(*_OUT.names))
