@@ -23,7 +23,8 @@ window or reach). Spans of equal windows are joined per document and cut from th
 Cases: a null text counts as empty; texts shorter than LENGTH repeat nothing by themselves; equal
 rows repeat each other wholly; matches may overlap, in one document too; a document of any length is
 read in pieces that overlap by LENGTH - 1; rows of equal doc_id are kept apart by an inner number of
-their own; an empty table gives no rows.
+their own; a run of one byte has an anchor per byte, as its windows are all equal; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -209,7 +210,7 @@ def _spans_of_small(contexts: DataFrame) -> DataFrame:
             cols = [b.column(k).to_numpy() for k in range(5)]
             raw = b.column(5).to_pylist()
             if held is None:
-                held, size = [[c] for c in cols] + [raw], len(raw)
+                held, size = [[c] for c in cols] + [list(raw)], len(raw)
             else:
                 if size >= 8192:
                     gram = np.concatenate([held[4][-1][-1:], cols[4]])
@@ -222,7 +223,7 @@ def _spans_of_small(contexts: DataFrame) -> DataFrame:
                         held, size, cols, raw = [[] for _ in range(5)] + [[]], 0, [c[k:] for c in cols], raw[k:]
                 for h, c in zip(held, cols, strict=False):
                     h.append(c)
-                held[5] = held[5] + raw
+                held[5].extend(raw)
                 size += len(raw)
         if size:
             yield compare(*(np.concatenate(h) for h in held[:5]), held[5])
@@ -261,21 +262,24 @@ def repeated_spans(rows: DataFrame, cuts: Cuts) -> DataFrame:
     """(row, start, stop): spans of bytes covered by repeated strings, in parts that may overlap."""
     small_batches(rows.sparkSession)
     marks = cuts.write(_anchor_rows(rows))
-    grams = marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    common = cuts.write(marks.join(grams, "gram"))
+    # what is joined to many rows of a key is written first: adaptive execution then splits a hot key's rows
+    grams = cuts.write(marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
+    common = cuts.write(marks.join(grams.hint("merge"), "gram"))
     cuts.drop(marks)
-    reaches = common.groupBy("gram", "reach", "most", "least").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("witness"))
-    whole = reaches.where("n > 1").select("gram", "reach", "most", "least")
-    done = common.join(whole, ["gram", "reach", "most", "least"]).select("row", (F.col("at") - F.col("most")).cast("long").alias("start"), (F.col("at") - F.col("least") + LENGTH).cast("long").alias("stop"))
+    cuts.drop(grams)
+    reaches = cuts.write(common.groupBy("gram", "reach", "most", "least").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("witness")))
+    whole = cuts.write(reaches.where("n > 1").select("gram", "reach", "most", "least"))
+    done = common.join(whole.hint("merge"), ["gram", "reach", "most", "least"]).select("row", (F.col("at") - F.col("most")).cast("long").alias("start"), (F.col("at") - F.col("least") + LENGTH).cast("long").alias("stop"))
     # one of each reach goes on; a gram with a single reach is settled
-    several = reaches.groupBy("gram").agg(F.count("*").alias("reaches")).where("reaches > 1")
-    left = cuts.write(reaches.join(several, "gram").select("gram", "most", "least", "witness.row", "witness.at", "reaches"))
+    several = cuts.write(reaches.groupBy("gram").agg(F.count("*").alias("reaches")).where("reaches > 1"))
+    left = cuts.write(reaches.join(several.hint("merge"), "gram").select("gram", "most", "least", "witness.row", "witness.at", "reaches"))
     by_row = left.groupBy("row").agg(F.collect_list(F.struct("at", "most", "least", "gram")).alias("found"))
     contexts = cuts.write(_context_rows(rows, by_row).join(left.select("row", "at", "most", "reaches"), ["row", "at", "most"]))
     small_batches(rows.sparkSession, 2048)
     small = _spans_of_small(contexts.where(F.col("reaches") <= SMALL))
     large = _spans_of_large(contexts.where(F.col("reaches") > SMALL), cuts)
     found = cuts.write(done.union(small).union(large))
+    cuts.only(found, *[t for t, _ in cuts.tables if t is rows])
     return found
 
 
