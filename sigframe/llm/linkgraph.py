@@ -7,7 +7,8 @@ pages against them (who links to a blocked host is suspect). A host is blocked w
 is above `ratio` times its trust, however many hosts share it.
 
 Edges between hosts: absolute links in the pages' html, and a host and its parent domain (the name
-without its first label, down to two labels) in both directions, because a parent answers for its
+without its first label, down to the name below a public suffix: one label, or two where a registry's
+word such as `co` or `com` stands before a country) in both directions, because a parent answers for its
 subdomains. What rose from a host to its parents does not fall from them to their other subdomains:
 one bad subdomain of thousands says nothing about the rest. Edges are aggregated to one row per pair of hosts before the iterations, so that hot
 hosts and repeated links cost one row each; scores are rows of a table, never collected.
@@ -28,6 +29,8 @@ from sigframe.llm.common import Cuts
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 DAMPING, ROUNDS, RATIO = 0.85, 10, 1.0
+#: Words under which registries give out names (fixed values): co.uk and com.au are suffixes, not parents.
+REGISTRY = ("ac", "co", "com", "edu", "go", "gov", "ne", "net", "or", "org")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,8 +60,10 @@ def host_edges(pages: DataFrame) -> DataFrame:
     linked = linked.select("src", host_of(F.col("link")).alias("dst")).where("src <> '' AND dst <> '' AND src <> dst")
     linked = linked.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
     hosts = pages.select("host").union(linked.select("dst")).where("host <> ''").distinct()
-    up = hosts.select("host", F.split("host", r"\.").alias("x")).where(F.size("x") > 2)
-    up = up.select("host", F.explode(F.transform(F.sequence(F.lit(0), F.size("x") - 3), lambda k: F.struct(F.array_join(F.slice("x", k + 1, 1000), ".").alias("src"), F.array_join(F.slice("x", k + 2, 1000), ".").alias("dst")))).alias("e"))
+    up = hosts.select("host", F.split("host", r"\.").alias("x"))
+    suffix = F.when((F.length(F.element_at("x", -1)) == 2) & F.try_element_at("x", F.lit(-2)).isin(*REGISTRY), 2).otherwise(1)
+    up = up.withColumn("suffix", suffix).where(F.size("x") > F.col("suffix") + 1)
+    up = up.select("host", F.explode(F.transform(F.sequence(F.lit(0), F.size("x") - F.col("suffix") - 2), lambda k: F.struct(F.array_join(F.slice("x", k + 1, 1000), ".").alias("src"), F.array_join(F.slice("x", k + 2, 1000), ".").alias("dst")))).alias("e"))
     up = up.select("e.src", "e.dst").distinct()
     family = up.union(up.select("dst", "src")).withColumn("weight", F.lit(1.0))
     return linked.union(family).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
