@@ -98,3 +98,9 @@ def moment_corr(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy
     """Correlation from raw moments; null where either side is constant. Exact for ranks."""
     spread = F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
     return F.try_divide(n * sxy - sx * sy, spread)
+
+
+def quarters_back(day: Column, count: int = 5) -> Column:
+    """array<struct<year, quarter>> of a date's quarter and those before it, latest first."""
+    at = F.year(day) * 4 + F.quarter(day) - 1
+    return F.transform(F.sequence(at, at - (count - 1), F.lit(-1)), lambda q: F.struct(F.floor(q / 4).cast("int").alias("year"), (q % 4 + 1).cast("int").alias("quarter")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sigframe.operators import metrics as M
 from sigframe.operators.temporal import nearest_ahead
 from sigframe.schema import DECAY_HORIZONS, DECAY_TOP, MIN_NAMES_PER_DATE
+from sigframe.session import kept
 
 
 def long_signals(labeled: DataFrame, signals: list[str], keep: list[str]) -> DataFrame:
@@ -24,17 +25,19 @@ def leaderboard(labeled: DataFrame, signals: list[str], y: str = "fwd_ret", base
     """A row per signal: mean rank correlation and its summary, neutralised correlation, decile spread,
     hit rate and turnover; greatest absolute correlation first.
 
-    base: the column against which signals are neutralised, if any.
+    base: the column against which signals are neutralised, if any. The panel is written once; all
+    statistics start from it.
     """
     keep = ["date", "entity", y, *([f"{base}__base"] if base else [])]
     rows = crowded_dates(labeled)
     if base:
         rows = rows.withColumn(f"{base}__base", F.col(base))
-    long = long_signals(rows, signals, keep)
+    long = long_signals(kept(rows.select(*dict.fromkeys([*keep, *signals])), "board"), signals, keep)
     by = ["signal", "date"]
     out = M.ic_summary(M.spearman(long, by, "value", y), ["signal"])
-    spread = M.quantile_spread(long, ["signal"], "value", y).select("signal", "spread")
-    hits = M.hit_rate(long, ["signal"], "value", y).select("signal", "hit_rate")
+    placed = M.placed(M.known(long, "value", y), ["signal"], "value", ["date", "entity"], globally=True)
+    spread = M.spread_of(placed, ["signal"], y).select("signal", "spread")
+    hits = M.hits_of(placed, ["signal"], y).select("signal", "hit_rate")
     moves = M.turnover(long, ["signal"], "value").select("signal", "turnover")
     out = out.join(spread, "signal", "left").join(hits, "signal", "left").join(moves, "signal", "left")
     if base:
@@ -52,7 +55,8 @@ def ic_decay(snapshots: DataFrame, prices: DataFrame, signals: list[str], horizo
     each = snapshots.withColumn("horizon_days", F.explode(F.array(*[F.lit(h) for h in horizons])))
     labeled = nearest_ahead(each.where("last_price > 0"), prices, F.col("horizon_days"), tolerance=tolerance).where("matched IS NOT NULL")
     labeled = labeled.withColumn("fwd_ret", F.col("matched") / F.col("last_price") - 1)
-    long = long_signals(labeled, signals, ["date", "entity", "horizon_days", "fwd_ret"])
+    keep = ["date", "entity", "horizon_days", "fwd_ret"]
+    long = long_signals(labeled, signals, keep)
     by = ["signal", "horizon_days", "date"]
     crowded = long.withColumn("_n", F.count("*").over(Window.partitionBy(*by))).where(F.col("_n") >= MIN_NAMES_PER_DATE)
     ics = M.spearman(crowded, by, "value", "fwd_ret").groupBy("signal", "horizon_days").agg(F.avg("ic").alias("ic"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigframe.functions.exprs import ratio
+from sigframe.functions.exprs import breadth, ratio, signed_change
 from sigframe.schema import WINDOWS
 
 def _by() -> Window:
@@ -128,3 +128,20 @@ def last_rows(bars: DataFrame, n: int) -> DataFrame:
     """The last n rows of each entity."""
     back = F.row_number().over(Window.partitionBy("entity").orderBy(F.col("date").desc()))
     return bars.withColumn("back", back).where(F.col("back") <= n).drop("back")
+
+
+def estimate_features(estimates: DataFrame, returns: DataFrame) -> DataFrame:
+    """Revision features of estimates (entity, current, ago_30, ago_90, up, down, analysts, target_mean, price)
+    with each entity's own 63-day return (entity, ret_63d): what a revision is ahead of the price."""
+    rows = estimates.join(returns.select("entity", "ret_63d"), "entity", "left")
+    rev = lambda then: signed_change(F.col("current").cast("double"), F.col(then).cast("double"))
+    target = F.when((F.col("target_mean") != 0) & (F.col("price") > 0), F.col("target_mean") / F.col("price") - 1)
+    return rows.select(
+        "entity",
+        F.round(rev("ago_30"), 4).alias("eps_rev_30d"),
+        F.round(rev("ago_90"), 4).alias("eps_rev_90d"),
+        F.round(breadth(F.col("up"), F.col("down")), 4).alias("eps_rev_breadth"),
+        F.round(rev("ago_90") - F.col("ret_63d"), 4).alias("eps_rev_vs_price"),
+        F.col("analysts").cast("long").alias("analyst_count"),
+        F.round(target, 4).alias("pt_upside"),
+    )

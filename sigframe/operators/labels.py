@@ -63,5 +63,5 @@ def walk_forward_folds(rows: DataFrame, folds: int = 4) -> DataFrame:
     inside = F.row_number().over(Window.partitionBy("date").orderBy("entity")) - 1
     placed = rows.withColumn("_i", inside).join(starts.select("date", "start", "total"), "date")
     size = F.floor(F.col("total") / (folds + 1))
-    fold = F.floor((F.col("start") + F.col("_i")) / size)
+    fold = F.floor(F.try_divide(F.col("start") + F.col("_i"), size))  # null where there are fewer rows than folds
     return placed.withColumn("pos", F.col("start") + F.col("_i")).withColumn("fold", F.when(fold <= folds, fold).cast("int")).drop("_i", "start", "total")

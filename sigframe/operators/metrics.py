@@ -1,7 +1,8 @@
 """Cross-sectional statistics, each as DataFrame to DataFrame; groups are columns, never loops.
 
 `by` holds the group columns, e.g. ["date"] or ["signal", "date"]; x is the signal, y the outcome.
-Rows with a null on either side drop out before any statistic.
+Rows where either side is null, NaN or infinite drop out before any statistic. Statistics per signal over
+all dates (`globally` True) take positions from sums over ranges, so that no task sorts a whole signal.
 """
 
 from __future__ import annotations
@@ -9,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigframe.functions.exprs import moment_corr, ratio
-from sigframe.functions.ranks import avg_rank
+from sigframe.functions.exprs import finite_or_null, moment_corr, ratio
+from sigframe.functions.ranks import avg_rank, running
 from sigframe.schema import DECILES, TOP_FRACTION
 
 
 def known(df: DataFrame, x: str, y: str) -> DataFrame:
-    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return df.where(finite_or_null(F.col(x)).isNotNull() & finite_or_null(F.col(y)).isNotNull())
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str, least: int = 3) -> DataFrame:
@@ -32,14 +33,23 @@ def ic_summary(ics: DataFrame, by: list[str], ic: str = "ic") -> DataFrame:
     return ics.where(F.col(ic).isNotNull()).groupBy(*by).agg(n.alias("n_dates"), mean.alias("mean_ic"), std.alias("std_ic"), F.try_divide(mean, std).alias("ir"), (F.try_divide(mean, std) * F.sqrt(n)).alias("t_stat"))
 
 
-def _placed(df: DataFrame, by: list[str], x: str, ties: list[str]) -> DataFrame:
+def placed(df: DataFrame, by: list[str], x: str, ties: list[str], globally: bool = False) -> DataFrame:
+    """df with _k (from 1, by x and then ties) and _n of its group."""
+    if globally:
+        out = running(df, by, [x, *ties])
+        return out.withColumn("_k", F.col("_before") + 1).withColumnRenamed("_total", "_n").drop("_before")
     asc = Window.partitionBy(*by).orderBy(x, *ties)
     return df.withColumn("_k", F.row_number().over(asc)).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
 
 
 def quantile_spread(df: DataFrame, by: list[str], x: str, y: str, q: int = DECILES, ties: tuple = ("date", "entity")) -> DataFrame:
     """by..., n, top, bottom, spread: mean outcome of the highest n div q less that of the lowest."""
-    rows = _placed(known(df, x, y), by, x, list(ties)).withColumn("_m", F.greatest(F.lit(1), F.floor(F.col("_n") / q)))
+    return spread_of(placed(known(df, x, y), by, x, list(ties)), by, y, q)
+
+
+def spread_of(rows: DataFrame, by: list[str], y: str, q: int = DECILES) -> DataFrame:
+    """`quantile_spread` of rows that are placed."""
+    rows = rows.withColumn("_m", F.greatest(F.lit(1), F.floor(F.col("_n") / q)))
     top, bottom = F.avg(F.when(F.col("_k") > F.col("_n") - F.col("_m"), F.col(y))), F.avg(F.when(F.col("_k") <= F.col("_m"), F.col(y)))
     return rows.where(F.col("_n") >= 2 * q).groupBy(*by).agg(F.count("*").alias("n"), top.alias("top"), bottom.alias("bottom"), (top - bottom).alias("spread"))
 
@@ -50,7 +60,11 @@ def _top(n: Column, fraction: float) -> Column:
 
 def hit_rate(df: DataFrame, by: list[str], x: str, y: str, fraction: float = TOP_FRACTION, ties: tuple = ("date", "entity")) -> DataFrame:
     """by..., n, hit_rate: share of the top fraction with an outcome above 0."""
-    rows = _placed(known(df, x, y), by, x, list(ties))
+    return hits_of(placed(known(df, x, y), by, x, list(ties)), by, y, fraction)
+
+
+def hits_of(rows: DataFrame, by: list[str], y: str, fraction: float = TOP_FRACTION) -> DataFrame:
+    """`hit_rate` of rows that are placed."""
     best = F.col("_k") > F.col("_n") - _top(F.col("_n"), fraction)
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.when(best, (F.col(y) > 0).cast("double"))).alias("hit_rate"))
 
@@ -60,19 +74,33 @@ def brier(df: DataFrame, by: list[str], p: str, y: str) -> DataFrame:
 
 
 def auc(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """by..., n_pos, n_neg, auc by average ranks; null with one class."""
-    ranked = known(df, x, y).withColumn("_r", avg_rank(by, x))
-    pos, neg = F.count_if(F.col(y) > 0.5), F.count_if(F.col(y) <= 0.5)
-    ranks = F.sum(F.when(F.col(y) > 0.5, F.col("_r")).otherwise(0.0))
-    return ranked.groupBy(*by).agg(pos.alias("n_pos"), neg.alias("n_neg"), ratio(ranks - pos * (pos + 1) / 2, pos * neg).alias("auc"))
+    """by..., n_pos, n_neg, auc; null with one class.
+
+    A row per value; each counts the negatives below its positives, and half of those beside them.
+    """
+    values = known(df, x, y).groupBy(*by, x).agg(F.count_if(F.col(y) > 0.5).alias("_pos"), F.count_if(F.col(y) <= 0.5).alias("_neg"))
+    below = running(values, by, [x], "_neg")
+    wins = F.sum(F.col("_pos") * (F.col("_before") + F.col("_neg") / 2.0))
+    pos, neg = F.sum("_pos"), F.sum("_neg")
+    return below.groupBy(*by).agg(pos.alias("n_pos"), neg.alias("n_neg"), ratio(wins, pos * neg).alias("auc"))
+
+
+def quantiles(df: DataFrame, x: str, at: list[float]) -> list[float]:
+    """Exact quantiles (linear) of a column without nulls, from the positions of its rows."""
+    where = running(df.select(x), [], [x])
+    total = df.count()
+    spots = [q * (total - 1) for q in at]
+    wanted = sorted({int(s) for s in spots} | {min(total - 1, int(s) + 1) for s in spots})
+    found = {r["_before"]: r[x] for r in where.where(F.col("_before").isin(wanted)).collect()}  # two rows a quantile
+    return [found[int(s)] + (s - int(s)) * (found[min(total - 1, int(s) + 1)] - found[int(s)]) for s in spots] if total else []
 
 
 def calibration_table(df: DataFrame, p: str, y: str, bins: int = 5) -> DataFrame:
     """bucket, n, mean_p, mean_y over quantile buckets of p; empty buckets are left out."""
     rows = known(df, p, y)
-    edges = rows.agg(F.percentile(p, F.array(*[F.lit(k / bins) for k in range(bins + 1)])).alias("edges"))
-    bucket = F.least(F.lit(bins - 1), F.size(F.filter(F.slice("edges", 2, bins), lambda e: e <= F.col(p))))
-    return rows.join(F.broadcast(edges)).groupBy(bucket.cast("int").alias("bucket")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(y).alias("mean_y"))
+    edges = quantiles(rows, p, [k / bins for k in range(1, bins)])
+    bucket = sum(((F.col(p) >= F.lit(e)).cast("int") for e in edges), F.lit(0))
+    return rows.groupBy(bucket.cast("int").alias("bucket")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(y).alias("mean_y"))
 
 
 def residuals(df: DataFrame, by: list[str], x: str, base: str, least: int = 3) -> DataFrame:
@@ -90,7 +118,7 @@ def turnover(df: DataFrame, signal: list[str], x: str, fraction: float = TOP_FRA
     Only known signals are ranked; dates with fewer than `least` are passed over.
     """
     by = [*signal, "date"]
-    rows = _placed(df.where(F.col(x).isNotNull()), by, x, ["entity"]).where(F.col("_n") >= least)
+    rows = placed(df.where(F.col(x).isNotNull()), by, x, ["entity"]).where(F.col("_n") >= least)
     top = rows.where(F.col("_k") > F.col("_n") - _top(F.col("_n"), fraction)).select(*by, "entity")
     dates = top.select(*by).distinct()
     before = F.lag("date").over(Window.partitionBy(*signal).orderBy("date")) if signal else F.lag("date").over(Window.partitionBy(F.lit(0)).orderBy("date"))

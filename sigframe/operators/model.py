@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sigframe.functions.ranks import rank01
 from sigframe.operators import metrics as M
 from sigframe.operators.labels import purged, walk_forward_folds
+from sigframe.session import kept
 
 MIN_DATES, MIN_EXAMPLES = 8, 200
 
@@ -47,12 +48,14 @@ def rank_averaged(rows: DataFrame, by: list[str], names: list[str], out: str = "
     return rows.withColumn(out, sum((rank01(by, n) for n in names), F.lit(0.0)) / len(names))
 
 
-def walk_forward(labeled: DataFrame, keys: list[str], folds: int = 4, embargo: int = 2, trees: bool = False, least_train: int = 20, least_test: int = 5) -> DataFrame | None:
+def walk_forward(labeled: DataFrame, keys: list[str], folds: int = 4, embargo: int = 2, trees: bool = False, least_train: int = 20, least_test: int = 5) -> DataFrame:
     """Out-of-sample scores (labeled columns, fold, score) of expanding folds; label 0/1 must be there.
 
-    One fit per fold and model; folds too small or of one class are passed over. None if all were.
+    One fit per fold and model; folds too small or of one class are passed over, and the result has no
+    rows if all were. The labelled rows are written once; each fold reads its part.
     """
-    rows, out = walk_forward_folds(labeled, folds), None
+    rows = kept(walk_forward_folds(labeled, folds), "folds")
+    out = rows.where(F.lit(False)).withColumn("score", F.lit(0.0))
     for fold in range(1, folds + 1):
         test = rows.where(F.col("fold") == fold)
         start = test.agg(F.min("date"), F.count("*")).first()
@@ -63,15 +66,14 @@ def walk_forward(labeled: DataFrame, keys: list[str], folds: int = 4, embargo: i
         if seen[0] < least_train or seen[1] < 2:
             continue
         stats = _stats(train, keys)
-        x, t = matrix(train, keys, stats), matrix(test, keys, stats)
+        x, t = kept(matrix(train, keys, stats).select("x", "label"), "fold"), matrix(test, keys, stats)
         part = scored(fit_logistic(x), t, "_a")
         names = ["_a"]
         if trees:
             part = scored(fit_trees(x), part, "_b")
             names.append("_b")
         part = rank_averaged(part, ["fold"], names) if trees else part.withColumn("score", F.col("_a"))
-        part = part.drop("x", *names)
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(kept(part.drop("x", *names), "fold"))
     return out
 
 
@@ -86,8 +88,10 @@ def calibrated(model, rows: DataFrame, out: str = "p") -> DataFrame:
 
 def evaluate_calibration(oos: DataFrame) -> DataFrame:
     """The earlier half of out-of-sample rows fits the calibration, the later half is scored: Brier and AUC."""
-    half = oos.agg(F.floor(F.count("*") / 2)).first()[0]
-    first = oos.agg(F.min("pos")).first()[0]
+    n, first = oos.agg(F.count("*"), F.min("pos")).first()
+    if n < 2:
+        return oos.sparkSession.createDataFrame([], "n long, brier double, auc double")
+    half = n // 2
     early, late = oos.where(F.col("pos") < first + half), oos.where(F.col("pos") >= first + half)
     p = calibrated(calibrate(early), late).withColumn("g", F.lit(1))
     return M.brier(p, ["g"], "p", "label").join(M.auc(p, ["g"], "score", "label").select("g", "auc"), "g").drop("g")
@@ -111,11 +115,28 @@ def readiness(labeled: DataFrame) -> tuple[bool, str]:
 
 
 def predict(labeled: DataFrame, snapshots: DataFrame, keys: list[str], top: int = 20) -> DataFrame | None:
-    """The latest snapshot's entities by calibrated probability; rows rebuilt later don't train. None if not ready."""
+    """date, entity, score, p (of the label's target) and p_big (of a big move of fwd_ret, where that is there
+    and both outcomes occur; else null): the latest snapshot's entities by calibrated probability.
+
+    Rows rebuilt later don't train. None if there isn't enough to learn from.
+    """
+    from sigframe.operators.labels import big_move
     from sigframe.operators.relational import on_latest_date
 
     own = labeled.where(~F.coalesce(F.col("backfilled"), F.lit(False))) if "backfilled" in labeled.columns else labeled
     if not readiness(own)[0]:
         return None
-    scorer, iso = fit_full(own, keys, walk_forward(own, keys))
-    return calibrated(iso, scorer(on_latest_date(snapshots))).select("date", "entity", "score", "p").orderBy(F.col("p").desc(), F.col("score").desc(), "entity").limit(top)
+    latest = kept(on_latest_date(snapshots), "latest")
+    scorer, iso = fit_full(own, keys, _or_none(walk_forward(own, keys)))
+    out = calibrated(iso, scorer(latest))
+    moved = own.withColumn("label", big_move()) if "fwd_ret" in own.columns else None
+    if moved is not None and moved.select("label").distinct().count() == 2:
+        big, big_iso = fit_full(moved, keys, _or_none(walk_forward(moved, keys)))
+        out = out.join(calibrated(big_iso, big(latest)).select("date", "entity", F.col("p").alias("p_big")), ["date", "entity"], "left")
+    else:
+        out = out.withColumn("p_big", F.lit(None).cast("double"))
+    return out.select("date", "entity", "score", "p", "p_big").orderBy(F.col("p").desc(), F.col("score").desc(), "entity").limit(top)
+
+
+def _or_none(rows: DataFrame) -> DataFrame | None:
+    return None if rows.isEmpty() else rows

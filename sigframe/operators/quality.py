@@ -62,3 +62,21 @@ def gate_verdict(snapshots: DataFrame, families: dict = FAMILIES, catastrophic:
     report = [r.asDict() for r in quality_gate(snapshots, families).where(F.col("date") == latest).orderBy("family").collect()]
     bad = any(r["family"] in catastrophic and r["status"] not in ("OK", "EXPECTED-DOWN") for r in report)
     return ("FAIL", 1, report) if bad else ("OK", 0, report)
+
+
+def family_presence(rows: DataFrame, families: dict = FAMILIES) -> DataFrame:
+    """family, present, n: how many rows have each family's feature alive, from one aggregation."""
+    there = {k: F.col(c).isNotNull() if kind == "notnull" else F.coalesce(F.col(c) > 0, F.lit(False)) for k, (c, kind, _) in families.items()}
+    counts = rows.agg(F.count("*").alias("n"), *[F.count_if(x).alias(k) for k, x in there.items()])
+    return counts.unpivot(["n"], list(families), "family", "present").select("family", "present", "n")
+
+
+def write_gold(labeled: DataFrame, features: list[str], out: str, horizon: int) -> DataFrame:
+    """Writes the labelled rows as JSON under out/labeled_<horizon>d and their quality under
+    out/quality_<horizon>d; returns the quality: label_quality's columns and missing, the share of rows
+    without each feature in per cent."""
+    labeled.write.mode("overwrite").json(f"{out}/labeled_{horizon}d")
+    share = F.create_map(*[x for c in features for x in (F.lit(c), F.round(F.try_divide(100.0 * F.count_if(F.col(c).isNull()), F.count("*")), 1))])
+    quality = label_quality(labeled).withColumns({c: F.round(c, 4) for c in ("positive_rate", "mean_ret")}).join(F.broadcast(labeled.agg(share.alias("missing"))))
+    quality.coalesce(1).write.mode("overwrite").json(f"{out}/quality_{horizon}d")
+    return quality

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,21 +53,22 @@ LEXICON = {
 }
 
 
+#: Words that turn the next one (by a factor); points that would make half a score of the sum's square.
+NEGATIONS, TURN, SPREAD = ("not", "never", "no"), -0.74, 15.0
+
+
 def sentiment(text: str = "text", lexicon: dict[str, float] | None = None) -> Column:
-    """Polarity in [-1, 1]: the words' sum over its root with 15 added under it; "not" before a word turns it."""
-    words = lexicon or LEXICON
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            out = []
-            for t in s:
-                total, before = 0.0, ""
-                for w in (t or "").lower().split():
-                    w = w.strip(".,;:!?\"'()")
-                    total += 4 * words.get(w, 0.0) * (-0.74 if before in ("not", "never", "no") else 1)
-                    before = w
-                out.append(total / (total * total + 15) ** 0.5)
-            yield pd.Series(out, dtype=float)
-
-    return score(F.col(text))
+    """Polarity in [-1, 1]: the words' sum over its root with 15 added under it; "not" before a word turns it.
+
+    One pass over the words of a text inside the JVM; the lexicon is a map literal.
+    """
+    words = F.create_map(*[F.lit(x) for pair in (lexicon or LEXICON).items() for x in pair])
+    plain = F.transform(F.split(F.trim(F.lower(F.coalesce(F.col(text), F.lit("")))), r"\s+"), lambda w: F.regexp_replace(w, r"^[.,;:!?\"'()]+|[.,;:!?\"'()]+$", ""))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit("").alias("before"))
+
+    def add(so_far: Column, word: Column) -> Column:
+        worth = F.coalesce(F.try_element_at(words, word), F.lit(0.0)) * 4
+        turned = F.when(so_far["before"].isin(*NEGATIONS), worth * TURN).otherwise(worth)
+        return F.struct((so_far["sum"] + turned).alias("sum"), word.alias("before"))
+
+    return F.aggregate(plain, start, add, lambda done: done["sum"] / F.sqrt(done["sum"] * done["sum"] + SPREAD))

@@ -136,7 +136,7 @@ def _(spark, d):
 
 @query("q_upper_median", f"WITH {_BARS} SELECT date, count(*) AS n, list_sort(list(close))[count(*) // 2 + 1] AS median FROM bars GROUP BY date")
 def _(spark, d):
-    return I.bars(spark, d).groupBy("date").agg(F.count("*").alias("n"), R.upper_median("close").alias("median"))
+    return R.upper_median(I.bars(spark, d), ["date"], "close")
 
 
 _URGENT = "have AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'), gaps AS (SELECT x.date FROM (SELECT CAST(unnest(generate_series((SELECT min(date) FROM have), (SELECT max(date) FROM have), INTERVAL 1 DAY)) AS DATE) AS date) x WHERE isodow(x.date) < 6 AND x.date NOT IN (SELECT date FROM have))"
@@ -644,3 +644,17 @@ _sql("q_sql_setops", "(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_
 _sql("q_sql_recursive", "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT n, f FROM t")
 _sql("q_sql_pivot", "SELECT * FROM (SELECT l_returnflag, l_linestatus, l_quantity FROM lineitem) PIVOT (count(l_quantity) FOR l_linestatus IN ('F' AS f, 'O' AS o))", "SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS f, count(*) FILTER (l_linestatus = 'O') AS o FROM lineitem GROUP BY l_returnflag")
 _sql("q_sql_subquery", "SELECT s_suppkey, s_name FROM supplier s WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = s.s_nationkey AND n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name < 'B')) AND s_acctbal > (SELECT avg(s_acctbal) FROM supplier)")
+_sql("q_sql_group_all", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL")
+_sql("q_sql_lateral_alias", "SELECT p_partkey, p_size * 2 AS twice, twice + 1 AS more FROM part")
+_sql("q_sql_qualify", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k = 1", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1")
+_sql("q_sql_frame_exclude", "SELECT o_orderkey, (count(*) OVER (PARTITION BY o_custkey)) - 1 AS others, (sum(o_orderkey) OVER (PARTITION BY o_custkey)) - o_orderkey AS other_keys FROM orders", "SELECT o_orderkey, count(*) OVER w AS others, coalesce(sum(o_orderkey) OVER w, 0)::BIGINT AS other_keys FROM orders WINDOW w AS (PARTITION BY o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW)")
+_sql("q_sql_except_columns", "SELECT * EXCEPT (p_name, p_retailprice) FROM part WHERE p_size = 7", "SELECT * EXCLUDE (p_name, p_retailprice) FROM part WHERE p_size = 7")
+_sql("q_sql_renamed", "SELECT p_brand, min_by(p_partkey, struct(p_size, p_partkey)) AS least, percentile_cont(0.25) WITHIN GROUP (ORDER BY p_size) AS lower FROM part GROUP BY p_brand", "SELECT p_brand, arg_min(p_partkey, (p_size, p_partkey)) AS least, quantile_cont(p_size, 0.25) AS lower FROM part GROUP BY p_brand")
+_sql("q_sql_dates", "SELECT o_orderkey, date_format(o_orderdate, 'yyyy-MM') AS month FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month FROM orders")
+_sql("q_sql_try_cast", "SELECT p_partkey, TRY_CAST(CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE CAST(p_size AS STRING) END AS INT) AS n FROM part", "SELECT p_partkey, TRY_CAST(CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_size::VARCHAR END AS INTEGER) AS n FROM part")
+_sql("q_sql_unpivot", "SELECT l_orderkey, l_linenumber, l_partkey, name, value FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_tax FROM lineitem) UNPIVOT (value FOR name IN (l_quantity, l_tax))")
+_sql("q_sql_range_frame", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND CURRENT ROW) AS last90 FROM orders", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND CURRENT ROW) AS last90 FROM orders")
+_sql("q_sql_setops_all", "(SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier) UNION ALL (SELECT s_nationkey FROM supplier EXCEPT ALL SELECT n_nationkey FROM nation)")
+_sql("q_sql_listagg", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names, percentile_cont(0.5) WITHIN GROUP (ORDER BY n_nationkey) AS middle FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names, quantile_cont(n_nationkey, 0.5) AS middle FROM nation GROUP BY n_regionkey")
+
+from sigframe.plans import landed  # noqa: E402, F401  adds its queries

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -26,3 +29,18 @@ def get_spark(app: str = "sigframe", master: str | None = None, **conf: str) ->
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the named Parquet tables under a folder, by any path that Spark reads."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def workspace(spark: SparkSession, label: str) -> str:
+    """A new folder's name under the one that driver and executors share; on one machine under /tmp if none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(found or 'file:/tmp/checkpoints/sigframe').rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """The frame, written once and read back: later plans start from its files."""
+    path = workspace(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

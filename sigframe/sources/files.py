@@ -34,3 +34,8 @@ def size(spark: SparkSession, path: str) -> int:
 def children(spark: SparkSession, path: str) -> list[str]:
     fs, at = _fs(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def make(spark: SparkSession, path: str) -> None:
+    fs, at = _fs(spark, path)
+    fs.mkdirs(at)

@@ -73,6 +73,40 @@ def daily_views(pages: DataFrame, body: str = "json", keep: tuple = ("entity",))
     return rows.select(*keep, F.try_to_timestamp(F.substring("x.timestamp", 1, 8), F.lit("yyyyMMdd")).cast("date").alias("day"), F.col("x.views").alias("views"))
 
 
+def screened(pages: DataFrame, body: str = "json") -> DataFrame:
+    """entity: the valid symbols among the quotes of screener answers, each once; malformed answers have none."""
+    results = F.from_json(F.col(body), "finance struct<result: array<struct<quotes: array<struct<symbol: string>>>>>")["finance"]["result"]
+    quotes = F.get(results, 0)["quotes"]
+    return pages.select(F.explode(quotes).alias("q")).select(F.col("q.symbol").alias("entity")).where(F.col("entity").rlike(TICKER)).distinct()
+
+
+def trending(pages: DataFrame, body: str = "json") -> DataFrame:
+    """entity: upper-cased symbols of trending lists, each once."""
+    symbols = F.from_json(F.col(body), "symbols array<struct<symbol: string>>")["symbols"]
+    return pages.select(F.explode(symbols).alias("s")).select(F.upper("s.symbol").alias("entity")).where("entity <> ''").distinct()
+
+
+def messages(pages: DataFrame, body: str = "json", keep: tuple = ("entity",)) -> DataFrame:
+    """keep..., body, ts of the messages that have a text."""
+    found = F.from_json(F.col(body), "messages array<struct<body: string, created_at: string>>")["messages"]
+    rows = pages.select(*keep, F.explode(found).alias("m")).where("m.body <> ''")
+    return rows.select(*keep, F.col("m.body").alias("body"), parse_timestamp(F.col("m.created_at")).alias("ts"))
+
+
+def layered(*candidates: DataFrame) -> DataFrame:
+    """The first candidate that has rows, else the last one: a universe with fallbacks."""
+    for df in candidates[:-1]:
+        if not df.isEmpty():
+            return df
+    return candidates[-1]
+
+
+def neutral(universe: DataFrame, found: DataFrame, defaults: dict) -> DataFrame:
+    """universe (entity) with found's features; what a source has not, or failed to give, is its neutral value."""
+    out = universe.select("entity").distinct().join(found, "entity", "left")
+    return out.select("entity", *[(F.col(k) if v is None else F.coalesce(F.col(k), F.lit(v))).alias(k) for k, v in defaults.items()])
+
+
 def resolved(cache: DataFrame, found: DataFrame) -> DataFrame:
     """entity, article, by_name, resolved_at: per entity a hit by name beats one by symbol, then the later."""
     best = F.max_by(F.struct("article", "by_name", "resolved_at"), F.struct(F.col("article").isNotNull(), F.col("by_name"), F.col("resolved_at")))

@@ -1,7 +1,9 @@
 """The archive: JSON rows in month partitions, upserted on (date, entity).
 
 A write touches only the months of its rows: their old rows without the new keys, and the new rows,
-are staged beside the archive and swapped in month by month. Running it again changes nothing.
+are staged beside the archive and swapped in month by month. Running it again changes nothing. A month
+that can't be swapped gets its old files back; what a writer left that died between the two renames is
+put back by the next one.
 """
 
 from __future__ import annotations
@@ -42,41 +44,60 @@ def read_rows(spark: SparkSession, path: str, schema: T.StructType, months: list
     return valid(rows.where("_bad IS NULL").drop("_bad").withColumn("month", F.date_format("date", "yyyy-MM")))
 
 
-def deduplicated(rows: DataFrame, order: str | None = None) -> DataFrame:
-    """One row per key: the last by `order`, else the greatest row as JSON, so that reruns agree."""
-    last = F.col(order).desc() if order else F.to_json(F.struct("*")).desc()
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*KEY).orderBy(last))).where("_k = 1").drop("_k")
+def deduplicated(rows: DataFrame, order: str) -> DataFrame:
+    """One row per key: the last by `order`."""
+    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.col(order).desc()))).where("_k = 1").drop("_k")
 
 
-def upsert(spark: SparkSession, path: str, rows: DataFrame, schema: T.StructType, order: str | None = None) -> tuple[int, int]:
-    """Rows in and distinct keys written."""
-    rows = valid(rows)
-    new = deduplicated(rows, order)
-    if order and order not in schema.fieldNames():
-        new = new.drop(order)
-    stage = f"{path.rstrip('/')}.stage-{uuid.uuid4().hex}"
+def recover(spark: SparkSession, path: str) -> list[str]:
+    """Puts back months that a writer moved away and didn't replace; their names."""
+    parent, _, name = path.rstrip("/").rpartition("/")
+    back = []
+    for stage in (c for c in files.children(spark, parent) if c.startswith(f"{name}.stage-")):
+        for old in (c for c in files.children(spark, f"{parent}/{stage}") if c.startswith("old-")):
+            if not files.exists(spark, f"{path}/month={old[4:]}"):
+                files.rename(spark, f"{parent}/{stage}/{old}", f"{path}/month={old[4:]}")
+                back.append(old[4:])
+    return back
+
+
+def _swap(spark: SparkSession, new: str, target: str, old: str) -> None:
+    """`new` in place of `target`, whose files go to `old`, or come back if that fails."""
+    had = files.exists(spark, target)
+    if had:
+        files.rename(spark, target, old)
     try:
-        _with_month(new.select(*schema.fieldNames())).write.parquet(f"{stage}/new")
-        new = spark.read.parquet(f"{stage}/new")
-        sizes = rows.count(), new.count()  # before the swap: rows may come from the archive itself
-        months = [r[0] for r in new.select("month").distinct().collect()]  # as many as the rows have months
-        old = read_rows(spark, path, schema, months).select(*schema.fieldNames(), "month")
-        merged = old.join(new.select(*KEY), KEY, "left_anti").unionByName(new.select(*schema.fieldNames(), "month"))
-        merged.repartition("month").sortWithinPartitions("month", *KEY).write.partitionBy("month").json(f"{stage}/out")
-        for m in sorted(months):
-            target = f"{path}/month={m}"
-            if files.exists(spark, target):
-                files.rename(spark, target, f"{stage}/old-{m}")
-            elif not files.exists(spark, path):
-                files._fs(spark, path)[0].mkdirs(files._fs(spark, path)[1])
-            files.rename(spark, f"{stage}/out/month={m}", target)
-        return sizes
-    finally:
-        files.remove(spark, stage)
+        files.rename(spark, new, target)
+    except Exception:
+        if had:
+            files.rename(spark, old, target)
+        raise
+
+
+def upsert(spark: SparkSession, path: str, rows: DataFrame, schema: T.StructType, order: str | None = None) -> tuple[int, int]:
+    """Rows in and distinct keys written. Of rows of one key the last counts: by `order`, else as they are read."""
+    path = path.rstrip("/")
+    recover(spark, path)
+    at = order or "_at"
+    rows = valid(rows if order else rows.withColumn(at, F.monotonically_increasing_id()))
+    stage = f"{path}.stage-{uuid.uuid4().hex}"
+    _with_month(deduplicated(rows, at).select(*schema.fieldNames())).write.parquet(f"{stage}/new")
+    new = spark.read.parquet(f"{stage}/new")
+    sizes = rows.count(), new.count()  # before the swap: rows may come from the archive itself
+    months = [r[0] for r in new.select("month").distinct().collect()]  # as many as the rows have months
+    old = read_rows(spark, path, schema, months).select(*schema.fieldNames(), "month")
+    merged = old.join(new.select(*KEY), KEY, "left_anti").unionByName(new.select(*schema.fieldNames(), "month"))
+    merged.repartition("month").sortWithinPartitions("month", *KEY).write.partitionBy("month").json(f"{stage}/out")
+    files.make(spark, path)
+    for m in sorted(months):
+        _swap(spark, f"{stage}/out/month={m}", f"{path}/month={m}", f"{stage}/old-{m}")
+    files.remove(spark, stage)  # only after all swaps: until then it may hold the one copy of a month
+    return sizes
 
 
 def append_snapshot(spark: SparkSession, base: str, rows: DataFrame, date=None) -> tuple[int, int]:
-    """Stamps version and date, turns NaN into null and upserts under base/features."""
+    """Stamps version and date, turns NaN into null, upserts under base/features, folds the legacy file in and
+    writes the manifest anew."""
     out = rows
     if date is not None:
         out = out.withColumn("date", F.lit(date).cast("date"))
@@ -85,7 +106,10 @@ def append_snapshot(spark: SparkSession, base: str, rows: DataFrame, date=None)
     out = out.select(*[(F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in kinds.items()])
     clean = F.transform_values("features", lambda _, v: nan_to_null(v))
     out = out.withColumn("features", clean).withColumn("schema_version", F.coalesce("schema_version", F.lit(SCHEMA_VERSION)))
-    return upsert(spark, f"{base}/features", out, SNAPSHOT)
+    sizes = upsert(spark, f"{base}/features", out, SNAPSHOT)
+    migrate_legacy(spark, base)
+    write_manifest(spark, base)
+    return sizes
 
 
 def append_prices(spark: SparkSession, base: str, panel: DataFrame) -> tuple[int, int]:
@@ -136,5 +160,10 @@ def update_manifest(spark: SparkSession, base: str) -> DataFrame:
     return both[0].unionByName(both[1])
 
 
+def write_manifest(spark: SparkSession, base: str) -> None:
+    """The manifest as JSON under base/manifest: two rows."""
+    update_manifest(spark, base).coalesce(1).write.mode("overwrite").json(f"{base}/manifest")
+
+
 def tracked(spark: SparkSession, base: str) -> DataFrame:
     return tracked_entities(load_features(spark, base), load_prices(spark, base))

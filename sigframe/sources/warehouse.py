@@ -22,10 +22,15 @@ def _write(df: DataFrame, path: str) -> None:
 
 
 def compact(spark: SparkSession, base: str, out: str) -> dict:
-    """Rebuilds the warehouse from the archive; the summary's byte counts come from the file system."""
+    """Rebuilds the warehouse from the archive and writes its summary; byte counts come from the file system."""
     _write(flatten(store.load_features(spark, base)), f"{out}/features")
     _write(store.load_prices(spark, base).select("date", "entity", "close", "schema_version", "month"), f"{out}/prices")
-    return stats(spark, base, out)
+    found = stats(spark, base, out)
+    some = lambda n: any(c.startswith("month=") for c in files.children(spark, f"{out}/{n}"))
+    rows = {n: spark.read.parquet(f"{out}/{n}").count() if some(n) else 0 for n in ("features", "prices")}
+    summary = {f"{n}_rows": c for n, c in rows.items()} | found
+    spark.createDataFrame([tuple(summary.values())], ", ".join(f"{k} {'double' if k == 'ratio' else 'long'}" for k in summary)).coalesce(1).write.mode("overwrite").json(f"{out}/summary")
+    return found
 
 
 def read_month(spark: SparkSession, path: str, first=None, last=None) -> DataFrame:
@@ -48,9 +53,15 @@ def connect(spark: SparkSession, out: str) -> list[str]:
     return made
 
 
-def sql(spark: SparkSession, out: str, query: str) -> list[tuple]:
+def frame(spark: SparkSession, out: str, query: str) -> DataFrame:
+    """The result of a query over the views, of any size."""
     connect(spark, out)
-    return [tuple(r) for r in spark.sql(query).collect()]
+    return spark.sql(query)
+
+
+def sql(spark: SparkSession, out: str, query: str) -> list[tuple]:
+    """The rows of a query whose result fits the driver; see `frame` for others."""
+    return [tuple(r) for r in frame(spark, out, query).collect()]
 
 
 def stats(spark: SparkSession, base: str, out: str) -> dict:

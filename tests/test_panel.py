@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sigframe.functions import exprs as X
 from sigframe.functions import ranks as R
+from sigframe.operators import metrics as M
 from sigframe.operators import evaluate, features, labels, metrics, model, quality, relational, temporal, text
 from sigframe.schema import FACTORS, FEATURES
 from sigframe.sources import files, parsers, store, warehouse
@@ -344,3 +345,111 @@ def test_rank_sum_and_monotone_invariance(spark, xs):
     a = metrics.spearman(df, ["g"], "x", "y").first()["ic"]
     b = metrics.spearman(df.withColumn("x", F.exp(F.col("x") / 20)), ["g"], "x", "y").first()["ic"]
     assert a == b
+
+
+def prices(spark, rows):
+    return spark.createDataFrame([(2, dt.date.fromisoformat(d), e, c) for d, e, c in rows], "schema_version int, date date, entity string, close double")
+
+
+@pytest.mark.parametrize("fails", [1, 2, 3, 4])
+def test_a_failed_swap_loses_no_row(spark, tmp_path, monkeypatch, fails):
+    """Each rename of a write over two months fails in turn."""
+    from sigframe.schema import PRICE
+
+    path = f"file:{tmp_path}/base/prices"
+    store.upsert(spark, path, prices(spark, [("2026-07-01", "A", 1.0), ("2026-07-02", "B", 2.0), ("2026-08-01", "A", 3.0), ("2026-08-02", "B", 4.0)]), PRICE)
+    count, real = [0], files.rename
+
+    def rename(spark, old, new):
+        count[0] += 1
+        if count[0] == fails:
+            raise OSError("disk")
+        real(spark, old, new)
+
+    monkeypatch.setattr(files, "rename", rename)
+    later = prices(spark, [("2026-07-01", "A", 10.0), ("2026-08-01", "A", 30.0)])
+    with pytest.raises(OSError):
+        store.upsert(spark, path, later, PRICE)
+    got = {(str(r["date"]), r["entity"]): r["close"] for r in store.read_rows(spark, path, PRICE).collect()}
+    assert len(got) == 4 and got["2026-07-02", "B"] == 2.0 and got["2026-08-02", "B"] == 4.0 and got["2026-08-01", "A"] == 3.0
+    monkeypatch.setattr(files, "rename", real)
+    store.upsert(spark, path, later, PRICE)
+    assert sorted(r["close"] for r in store.read_rows(spark, path, PRICE).collect()) == [2.0, 4.0, 10.0, 30.0]
+
+
+def test_a_dead_writer_is_made_good(spark, tmp_path):
+    from sigframe.schema import PRICE
+
+    path = f"file:{tmp_path}/base/prices"
+    store.upsert(spark, path, prices(spark, [("2026-07-01", "A", 1.0), ("2026-08-01", "A", 3.0)]), PRICE)
+    files.make(spark, f"{path}.stage-dead")
+    files.rename(spark, f"{path}/month=2026-07", f"{path}.stage-dead/old-2026-07")
+    store.upsert(spark, path, prices(spark, [("2026-08-01", "A", 4.0)]), PRICE)
+    assert sorted(r["close"] for r in store.read_rows(spark, path, PRICE).collect()) == [1.0, 4.0]
+
+
+def test_the_last_record_of_a_batch_wins(spark, tmp_path):
+    from sigframe.schema import PRICE
+
+    path = f"file:{tmp_path}/prices"
+    assert store.upsert(spark, path, prices(spark, [("2026-07-01", "A", 9.0), ("2026-07-01", "B", 1.0), ("2026-07-01", "A", 10.0)]), PRICE) == (3, 2)
+    store.upsert(spark, path, prices(spark, [("2026-07-01", "B", 8.0), ("2026-07-01", "B", 7.0)]), PRICE)
+    assert sorted((r["entity"], r["close"]) for r in store.read_rows(spark, path, PRICE).collect()) == [("A", 10.0), ("B", 7.0)]
+    ordered = prices(spark, [("2026-07-01", "A", 5.0), ("2026-07-01", "A", 6.0)]).withColumn("at", -F.col("close"))
+    store.upsert(spark, path, ordered, PRICE, order="at")
+    assert sorted(r["close"] for r in store.read_rows(spark, path, PRICE).collect()) == [5.0, 7.0]
+
+
+def test_only_finite_pairs_count(spark):
+    rows = [("d", float(k), float(k * k)) for k in range(6)] + [("d", float("nan"), 1.0), ("d", 2.0, float("inf")), ("d", None, 3.0), ("d", 5.0, float("nan"))]
+    df = spark.createDataFrame(rows, "date string, x double, y double")
+    assert M.spearman(df, ["date"], "x", "y").collect() == [("d", 6, 1.0)]
+
+
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_running_sums_over_ranges(spark, parts):
+    from sigframe.functions.ranks import running
+
+    rng = np.random.default_rng(50)
+    rows = [("ab"[k % 2], int(rng.integers(40)), k, int(rng.integers(9))) for k in range(500)]
+    df = spark.createDataFrame(rows, "g string, x int, k int, w long")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        for amount in ("_one", "w"):
+            got = {r["k"]: (r["_before"], r["_total"]) for r in running(df, ["g"], ["x", "k"], amount).collect()}
+            for g, x, k, _ in rows:
+                own = [(b, c, d if amount == "w" else 1) for a, b, c, d in rows if a == g]
+                assert got[k] == (sum(d for b, c, d in own if (b, c) < (x, k)), sum(d for _, _, d in own))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert M.quantiles(df, "x", [0.2, 0.5, 1.0]) == pytest.approx(np.quantile([r[1] for r in rows], [0.2, 0.5, 1.0]).tolist())
+    assert running(df.limit(0), ["g"], ["x"]).count() == 0
+
+
+def test_learning_from_nothing_gives_no_rows(spark):
+    from sigframe.operators import model
+
+    df = spark.createDataFrame([("2026-01-01", "A", 1.0, 0.1, 1.0, 5)], "date string, entity string, a double, fwd_ret double, label double, horizon_days int").withColumn("date", F.col("date").cast("date"))
+    for rows in (df, df.limit(0)):
+        oos = model.walk_forward(rows, ["a"])
+        assert oos.count() == 0 and {"fold", "score"} <= set(oos.columns)
+        assert model.evaluate_calibration(oos).count() == 0 and M.auc(oos, ["fold"], "score", "label").count() == 0
+
+
+def test_prediction_of_two_targets(spark):
+    from sigframe.operators import model
+
+    rng = np.random.default_rng(51)
+    rows = []
+    for k in range(12):
+        for e in range(40):
+            a = float(rng.normal())
+            rows.append((dt.date(2026, 1, 1) + dt.timedelta(days=10 * k), f"E{e}", a, 0.4 * a + 0.05 * float(rng.normal()), float(a > 0.8), 5))
+    df = spark.createDataFrame(rows, "date date, entity string, a double, fwd_ret double, label double, horizon_days int")
+    got = model.predict(df, df.select("date", "entity", "a"), ["a"], top=5).collect()
+    last = sorted((r[2], r[1]) for r in rows if r[0] == max(x[0] for x in rows))
+    assert len(got) == 5 and {r["entity"] for r in got} <= {e for _, e in last[-12:]} and all(0 <= r["p_big"] <= 1 for r in got)
+    assert model.predict(df, df.select("date", "entity", "a"), ["a"], top=40).where("p_big IS NULL").count() == 0
+    small = model.predict(df.withColumn("fwd_ret", F.lit(0.0)), df.select("date", "entity", "a"), ["a"], top=3).collect()
+    assert all(r["p_big"] is None for r in small)
