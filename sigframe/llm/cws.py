@@ -45,14 +45,32 @@ _GOLDEN = 0x9E3779B97F4A7C15
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
-def _unit(x: np.ndarray, shift: int) -> np.ndarray:
-    """21 bits as a number in (0, 1)."""
-    return (((x >> np.uint64(shift)) & np.uint64(0x1FFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-21)
+def _unit(x: np.ndarray, bits: int) -> np.ndarray:
+    """Whole numbers below 2 ** bits as numbers in (0, 1)."""
+    out = x.view(np.int32).astype(np.float32)
+    out += np.float32(0.5)
+    out *= np.float32(2.0**-bits)
+    return out
+
+
+def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return x.astype(np.uint32), (x >> np.uint64(32)).astype(np.uint32)
+
+
+def _log_gamma(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """-ln of the product of two uniforms, each from 21 bits: Gamma(2, 1)."""
+    u = _unit(low >> np.uint32(11), 21)
+    u *= _unit(high >> np.uint32(11), 21)
+    np.log(u, out=u)
+    return np.negative(u, out=u)
 
 
 class Sampler:
@@ -74,12 +92,12 @@ class Sampler:
 
     def parameters(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """r, b and ln c of words' hashes, a row each."""
-        x = _mix(hashes[:, None] ^ self.lanes[None, : self.samples])
-        y = _mix(hashes[:, None] ^ self.lanes[None, self.samples :])
-        r = -np.log(_unit(x, 0) * _unit(x, 21))
-        ln_c = np.log(-np.log(_unit(y, 0) * _unit(y, 21)))
-        b = (((x >> np.uint64(42)) & np.uint64(0x3FFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-22)
-        return r, b, ln_c
+        low, high = _halves(_mix(hashes[:, None] ^ self.lanes[None, : self.samples]))
+        r = _log_gamma(low, high)
+        rest = (low & np.uint32(0x7FF)) << np.uint32(11)
+        b = _unit(rest | (high & np.uint32(0x7FF)), 22)
+        ln_c = _log_gamma(*_halves(_mix(hashes[:, None] ^ self.lanes[None, self.samples :])))
+        return r, b, np.log(ln_c, out=ln_c)
 
     def learn(self, words: list[bytes]) -> None:
         """Makes the parameters of words that aren't kept; forgets all before it would overflow."""
@@ -101,7 +119,7 @@ class Sampler:
     def _least(self, words: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ln a, the word's hash and t of the least sample in each lane."""
         rows = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-        ln_a = self.once[rows]
+        ln_a = self.once.take(rows, axis=0)
         many = np.flatnonzero(weights > 1)
         t = None
         if len(many):
