@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -15,6 +19,8 @@ from sigframe.operators.labels import purged, walk_forward_folds
 from sigframe.session import kept
 
 MIN_DATES, MIN_EXAMPLES = 8, 200
+#: Training rows of a part.
+PART_ROWS = 50_000
 
 
 def _stats(train: DataFrame, keys: list[str]) -> dict[str, tuple[float, float]]:
@@ -55,26 +61,30 @@ def walk_forward(labeled: DataFrame, keys: list[str], folds: int = 4, embargo: i
     rows if all were. The labelled rows are written once; each fold reads its part.
     """
     rows = kept(walk_forward_folds(labeled, folds), "folds")
-    out = rows.where(F.lit(False)).withColumn("score", F.lit(0.0))
-    for fold in range(1, folds + 1):
+
+    def one(fold: int) -> DataFrame | None:
         test = rows.where(F.col("fold") == fold)
         start = test.agg(F.min("date"), F.count("*")).first()
         if start[1] < least_test:
-            continue
+            return None
         train = purged(rows.where(F.col("fold") < fold), F.lit(start[0]), embargo)
         seen = train.agg(F.count("*"), F.countDistinct("label")).first()
         if seen[0] < least_train or seen[1] < 2:
-            continue
+            return None
         stats = _stats(train, keys)
-        x, t = kept(matrix(train, keys, stats).select("x", "label"), "fold"), matrix(test, keys, stats)
-        part = scored(fit_logistic(x), t, "_a")
+        # boosting runs hundreds of short jobs: no more parts than the rows are worth
+        x = kept(matrix(train, keys, stats).select("x", "label").repartition(1 + seen[0] // PART_ROWS), "fold")
+        part = scored(fit_logistic(x), matrix(test, keys, stats), "_a")
         names = ["_a"]
         if trees:
             part = scored(fit_trees(x), part, "_b")
             names.append("_b")
         part = rank_averaged(part, ["fold"], names) if trees else part.withColumn("score", F.col("_a"))
-        out = out.unionByName(kept(part.drop("x", *names), "fold"))
-    return out
+        return kept(part.drop("x", *names), "fold")
+
+    with ThreadPoolExecutor(folds) as pool:  # folds don't wait for each other
+        parts = [p for p in pool.map(inheritable_thread_target(labeled.sparkSession)(one), range(1, folds + 1)) if p is not None]
+    return reduce(DataFrame.unionByName, parts, rows.where(F.lit(False)).withColumn("score", F.lit(0.0)))
 
 
 def calibrate(scores: DataFrame, score: str = "score", label: str = "label"):
