@@ -12,13 +12,15 @@ and equal windows have equal anchors at equal offsets. Then
 2. Anchors are named by the pair (gram, reach): the reach is the string of all windows that the
    anchor stands for (up to 327 bytes). If a reach comes twice, all its windows repeat; one of the
    equal reaches stays as a witness for the others' neighbours.
-3. The rest, mostly ends of passages, and the witnesses go on with their bytes: windows of the same
-   gram are named at LENGTH bytes. Grams with up to `SMALL` reaches do so in one task; beyond that
-   windows are dealt out as rows (gram, offset, name at the half length), reranked, those still
-   shared once more at the full length.
+3. The rest, mostly ends of passages, and the witnesses go on with their bytes, in rounds at growing
+   lengths: the windows of a gram that start next to each other (`WIDTHS`: groups of 16, then of 1)
+   are named by what they all hold (185 bytes, then LENGTH) and by all that they cover. Equal covers
+   repeat wholly, and one stays as a witness; groups whose common bytes are unique drop out; the
+   others are divided and ranked anew. Every gram takes this way, whatever its number of rows: a hot
+   one is counted in part before its rows move, and the join that follows can be split.
 
 Names are 64-bit polynomial hashes, mixed; a claim of equality always rests on two of them (gram and
-window or reach). Spans of equal windows are joined per document and cut from the bytes.
+window, cover or reach). Spans of equal windows are joined per document and cut from the bytes.
 
 Cases: a null text counts as empty; texts shorter than LENGTH repeat nothing by themselves; equal
 rows repeat each other wholly; matches may overlap, in one document too; a document of any length is
@@ -29,7 +31,6 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +42,8 @@ from sigframe.llm.common import Cuts, small_batches
 
 LENGTH = 200
 WINDOW = 128  # grams of a window
-#: Reaches of one gram that a task compares by itself.
-SMALL = 2_000
+#: Windows of a group in each round of the last step: names of 185 bytes, then of LENGTH.
+WIDTHS = (16, 1)
 PIECE = 1 << 19
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -160,102 +161,55 @@ def _context_rows(rows: DataFrame, open_: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "row long, at int, most short, least short, gram long, bytes binary")
 
 
-def _window_names(contexts: list[bytes], most: np.ndarray, least: np.ndarray, length: int, shift: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the context, offset, name) of each window, or of its part [shift, shift + length)."""
-    sizes = np.array([len(c) for c in contexts], np.int64)
-    base = np.cumsum(sizes) - sizes
-    names = Names(np.frombuffer(b"".join(contexts), np.uint8))
-    many = most - least + 1
-    owner = np.repeat(np.arange(len(contexts)), many)
-    step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-    start = base[owner] + step + shift
-    return owner, most[owner] - step, names.of(start, start + length)
-
-
-def _shared(*keys: np.ndarray) -> np.ndarray:
-    """Which rows have keys that come more than once."""
-    order = np.lexsort(keys)
-    same = np.ones(max(0, len(order) - 1), bool)
-    for k in keys:
-        same &= k[order][1:] == k[order][:-1]
-    out = np.zeros(len(order), bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
-    return out
-
-
-def _spans(row, at, owner, offset, hit) -> pa.RecordBatch:
-    """Runs of repeated windows as byte spans (row, start, stop)."""
-    owner, start = owner[hit], at[owner[hit]] - offset[hit]
-    if not len(owner):
-        return pa.record_batch([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64())], names=["row", "start", "stop"])
-    new = np.r_[True, (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)]
-    first = np.flatnonzero(new)
-    last = np.r_[first[1:], len(owner)] - 1
-    return pa.record_batch([pa.array(row[owner[first]]), pa.array(start[first]), pa.array(start[last] + LENGTH)], names=["row", "start", "stop"])
-
-
-def _spans_of_small(contexts: DataFrame) -> DataFrame:
-    """Spans from grams whose contexts one task compares."""
-
-    def compare(row, at, most, least, gram, raw) -> pa.RecordBatch:
-        most, least = most.astype(np.int64), least.astype(np.int64)
-        owner, offset, name = _window_names(raw, most, least, LENGTH)
-        hit = _shared(name, offset, gram[owner])
-        return _spans(row, at.astype(np.int64), owner, offset, hit)
+def _named(contexts: DataFrame, width: int, before: int) -> DataFrame:
+    """Rows of groups of `width` neighbouring windows, out of each context's `parts` of `before` windows.
+
+    (id, row, start, stop, gram, part, core, whole): `part` says which offsets of the gram in its window the
+    group has; `core` names the bytes that all windows of such a group hold, `whole` those of this
+    context's windows together. Both are the same at width 1: the window.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = None, 0
         for b in batches:
-            cols = [b.column(k).to_numpy() for k in range(5)]
-            raw = b.column(5).to_pylist()
-            if held is None:
-                held, size = [[c] for c in cols] + [list(raw)], len(raw)
-            else:
-                if size >= 8192:
-                    gram = np.concatenate([held[4][-1][-1:], cols[4]])
-                    new = np.flatnonzero(gram[1:] != gram[:-1])
-                    if len(new):
-                        k = int(new[0])
-                        for h, c in zip(held, cols, strict=False):
-                            h.append(c[:k])
-                        yield compare(*(np.concatenate(h) for h in held[:5]), held[5] + raw[:k])
-                        held, size, cols, raw = [[] for _ in range(5)] + [[]], 0, [c[k:] for c in cols], raw[k:]
-                for h, c in zip(held, cols, strict=False):
-                    h.append(c)
-                held[5].extend(raw)
-                size += len(raw)
-        if size:
-            yield compare(*(np.concatenate(h) for h in held[:5]), held[5])
-
-    dealt = contexts.repartition("gram").sortWithinPartitions("gram").select("row", "at", "most", "least", "gram", "bytes")
-    return dealt.mapInArrow(run, "row long, start long, stop long")
-
-
-def _spans_of_large(contexts: DataFrame, cuts: Cuts) -> DataFrame:
-    """Spans from grams with many contexts: rounds of naming, counting and dropping unique names."""
-
-    def named(length: int, shift: int = 0):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for k in range(0, b.num_rows, 256):
-                    s = b.slice(k, 256)
-                    row, at, most, least, gram = (s.column(i).to_numpy() for i in range(5))
-                    owner, offset, name = _window_names(s.column(5).to_pylist(), most.astype(np.int64), least.astype(np.int64), length, shift)
-                    yield pa.record_batch([pa.array(row[owner]), pa.array(at[owner].astype(np.int64) - offset), pa.array(offset.astype(np.int16)), pa.array(gram[owner]), pa.array(name.view(np.int64))], names=["row", "start", "offset", "gram", "name"])
-
-        return run
-
-    kind = "row long, start long, offset short, gram long, name long"
-    columns = contexts.select("row", "at", "most", "least", "gram", "bytes")
-    half = cuts.write(columns.mapInArrow(named(LENGTH // 2), kind))
-    shared = half.groupBy("gram", "offset", "name").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    half = half.join(shared, ["gram", "offset", "name"]).select("row", "start", "offset", "gram", F.col("name").alias("before"))
-    other = columns.mapInArrow(named(LENGTH - LENGTH // 2, LENGTH // 2), kind).select("row", "start", "offset", "gram", "name")
-    pairs = cuts.write(half.join(other, ["row", "start", "offset", "gram"]).withColumn("pair", F.xxhash64("before", "name")))
-    shared = pairs.groupBy("gram", "offset", "pair").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    full = pairs.join(shared, ["gram", "offset", "pair"])
-    return full.select("row", "start", (F.col("start") + LENGTH).alias("stop"))
+            if not b.num_rows:
+                continue
+            id_, row, at, most, least, gram = (b.column(k).to_numpy().astype(np.int64) for k in range(6))
+            raw, parts = b.column(6).to_pylist(), b.column(7)
+            sizes = np.array([len(x) for x in raw], np.int64)
+            names = Names(np.frombuffer(b"".join(raw), np.uint8))
+            anchor = np.cumsum(sizes) - sizes + most
+            many = np.diff(parts.offsets.to_numpy()).astype(np.int64)
+            owner, old = np.repeat(np.arange(len(raw)), many), parts.flatten().to_numpy().astype(np.int64)
+            low, high = np.maximum(least[owner], old * before), np.minimum(most[owner], old * before + before - 1)
+            first = low // width
+            many = high // width - first + 1
+            part = np.repeat(first - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+            low, high = np.maximum(np.repeat(low, many), part * width), np.minimum(np.repeat(high, many), part * width + width - 1)
+            owner = np.repeat(owner, many)
+            core = names.of(anchor[owner] - part * width, anchor[owner] - (part + 1) * width + 1 + LENGTH)
+            whole = names.of(anchor[owner] - high, anchor[owner] - low + LENGTH) ^ mix((low * WINDOW + high).astype(np.uint64))
+            columns = [id_[owner], row[owner], at[owner] - high, at[owner] - low + LENGTH, gram[owner], part.astype(np.int16), core.view(np.int64), whole.view(np.int64)]
+            yield pa.record_batch([pa.array(c) for c in columns], names=["id", "row", "start", "stop", "gram", "part", "core", "whole"])
+
+    columns = contexts.select("id", "row", "at", "most", "least", "gram", "bytes", "parts")
+    return columns.mapInArrow(run, "id long, row long, start long, stop long, gram long, part short, core long, whole long")
+
+
+def _spans_of(contexts: DataFrame, cuts: Cuts) -> list[DataFrame]:
+    """Spans of the windows that contexts share: rounds of naming, counting and dropping unique names."""
+    spans, now, before = [], contexts.withColumn("parts", F.array(F.lit(0).cast("short"))), WINDOW
+    for width in WIDTHS:
+        rows = cuts.write(_named(now, width, before))
+        # one of the equal groups goes on as a witness for the others
+        classes = cuts.write(rows.groupBy("gram", "part", "core", "whole").agg(F.count("*").alias("n"), F.min("id").alias("id")))
+        equal = classes.where("n > 1").select("gram", "part", "whole")
+        spans.append(rows.join(equal.hint("merge"), ["gram", "part", "whole"]).select("row", "start", "stop"))
+        if width > 1:
+            shared = cuts.write(classes.groupBy("gram", "part", "core").agg(F.count("*").alias("m")).where("m > 1").drop("m"))
+            left = classes.join(shared.hint("merge"), ["gram", "part", "core"])
+            parts = left.groupBy("id").agg(F.collect_list("part").alias("parts"))
+            now, before = contexts.join(cuts.write(parts).hint("merge"), "id"), width
+    return spans
 
 
 def repeated_spans(rows: DataFrame, cuts: Cuts) -> DataFrame:
@@ -271,14 +225,15 @@ def repeated_spans(rows: DataFrame, cuts: Cuts) -> DataFrame:
     whole = cuts.write(reaches.where("n > 1").select("gram", "reach", "most", "least"))
     done = common.join(whole.hint("merge"), ["gram", "reach", "most", "least"]).select("row", (F.col("at") - F.col("most")).cast("long").alias("start"), (F.col("at") - F.col("least") + LENGTH).cast("long").alias("stop"))
     # one of each reach goes on; a gram with a single reach is settled
-    several = cuts.write(reaches.groupBy("gram").agg(F.count("*").alias("reaches")).where("reaches > 1"))
-    left = cuts.write(reaches.join(several.hint("merge"), "gram").select("gram", "most", "least", "witness.row", "witness.at", "reaches"))
+    several = cuts.write(reaches.groupBy("gram").agg(F.count("*").alias("reaches")).where("reaches > 1").select("gram"))
+    left = cuts.write(reaches.join(several.hint("merge"), "gram").select("gram", "most", "least", "witness.row", "witness.at"))
     by_row = left.groupBy("row").agg(F.collect_list(F.struct("at", "most", "least", "gram")).alias("found"))
-    contexts = cuts.write(_context_rows(rows, by_row).join(left.select("row", "at", "most", "reaches"), ["row", "at", "most"]))
+    contexts = cuts.write(_context_rows(rows, by_row).withColumn("id", F.monotonically_increasing_id()))
     small_batches(rows.sparkSession, 2048)
-    small = _spans_of_small(contexts.where(F.col("reaches") <= SMALL))
-    large = _spans_of_large(contexts.where(F.col("reaches") > SMALL), cuts)
-    found = cuts.write(done.union(small).union(large))
+    found = done
+    for spans in _spans_of(contexts, cuts):
+        found = found.union(spans)
+    found = cuts.write(found)
     cuts.only(found, *[t for t, _ in cuts.tables if t is rows])
     return found
 

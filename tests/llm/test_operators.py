@@ -503,9 +503,9 @@ def removed(raws, length=200):
     return masks
 
 
-@pytest.mark.parametrize("small", [2000, 1])
-def test_repeats_equal_brute_force(spark, odd, small, monkeypatch):
-    monkeypatch.setattr(repeats, "SMALL", small)
+@pytest.mark.parametrize("widths", [(16, 1), (64, 16, 4, 1), (1,)])
+def test_repeats_equal_brute_force(spark, odd, widths, monkeypatch):
+    monkeypatch.setattr(repeats, "WIDTHS", widths)
     rng = np.random.default_rng(8)
     shared = [prose(rng, n) for n in (29, 33, 40, 80)]
     texts = [*odd[:6], *odd[7:]] + [prose(rng, int(rng.integers(0, 60))) + " " + str(rng.choice(shared))[int(rng.integers(30)) :] + prose(rng, int(rng.integers(0, 60))) for _ in range(40)] + ["ab" * 150, "é" * 199, "z" * 200]
