@@ -39,3 +39,13 @@ def children(spark: SparkSession, path: str) -> list[str]:
 def make(spark: SparkSession, path: str) -> None:
     fs, at = _fs(spark, path)
     fs.mkdirs(at)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one file, in place of any other."""
+    fs, at = _fs(spark, path)
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
