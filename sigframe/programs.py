@@ -24,6 +24,8 @@ from sigframe.schema import BASE_FEATURES, DECAY_HORIZONS, FEATURES, HORIZON, PR
 from sigframe.session import kept
 from sigframe.sources import files, store
 
+#: Bars that a run reads and closes that it archives: days before the date, bars of an entity.
+HISTORY_DAYS, PANEL_BARS = 400, 10
 #: What bars alone give.
 PRICE_SIGNALS = tuple(n for n in B.REBUILT if n != "short_vol_ratio")
 
@@ -34,13 +36,19 @@ def wide(snapshots: DataFrame, names: tuple = FEATURES) -> DataFrame:
     return snapshots.select("date", "entity", "score", "last_price", F.coalesce("backfilled", F.lit(False)).alias("backfilled"), *cols)
 
 
+def recent(bars: DataFrame, date) -> DataFrame:
+    """The bars of the last `HISTORY_DAYS` days up to a date; the bounds reach the scan."""
+    day = F.lit(str(date)).cast("date")
+    return bars.where((F.col("date") <= day) & (F.col("date") > F.date_sub(day, HISTORY_DAYS)))
+
+
 def snapshot(bars: DataFrame, date, universe: DataFrame, sources: list[DataFrame] = ()) -> DataFrame:
     """The scored rows of one date: features at each entity's last bar up to it, the sources' laid over them.
 
     Entities of the universe without bars are rows too, as the sources may know them.
     """
     day = F.lit(str(date)).cast("date")
-    last = W.last_rows(W.compute_features(bars.where(F.col("date") <= day)), 1)
+    last = W.last_rows(W.compute_features(recent(bars, date)), 1)
     made = F.map_from_arrays(F.array(*[F.lit(n) for n in PRICE_SIGNALS]), F.array(*[F.col(n).cast("double") for n in PRICE_SIGNALS]))
     known = last.select("entity", F.map_filter(made, lambda _, v: v.isNotNull()).alias("features"))
     rows = merge_sources(universe, [known, *sources]).join(last.select("entity", F.col("close").alias("last_price")), "entity", "left")
@@ -50,10 +58,10 @@ def snapshot(bars: DataFrame, date, universe: DataFrame, sources: list[DataFrame
 
 
 def collect(spark: SparkSession, base: str, bars: DataFrame, date, out: str, universe: DataFrame | None = None, sources: list[DataFrame] = (), again: bool = True, top: int = 25) -> dict | None:
-    """Appends a date's snapshot and the closes up to it, writes the ranking; how many rows were written.
+    """Appends a date's snapshot and the last ten closes, writes the ranking; how many rows were written.
 
     universe: entity; else all with a bar. Closes are kept for every entity ever tracked, so that labels
-    outlive its place in the universe. None, and nothing done, if the date is there and `again` is false.
+    outlive its place in the universe; writing ten anew mends late ones and touches one or two months. None, and nothing done, if the date is there and `again` is false.
     """
     if not again and store.has_snapshot(spark, base, date):
         return None
@@ -61,7 +69,7 @@ def collect(spark: SparkSession, base: str, bars: DataFrame, date, out: str, uni
     rows = kept(snapshot(bars, date, universe, sources), "snapshot")
     wrote, _ = store.append_snapshot(spark, base, rows)
     followed = store.tracked(spark, base).union(universe).distinct()
-    closes = bars.where((F.col("date") <= F.lit(str(date)).cast("date")) & (F.col("close") > 0)).join(followed, "entity", "left_semi")
+    closes = W.last_rows(recent(bars, date).where("close > 0"), PANEL_BARS).join(followed, "entity", "left_semi")
     _, prices = store.upsert(spark, f"{base}/prices", closes.select(F.lit(SCHEMA_VERSION).alias("schema_version"), "date", "entity", F.col("close").cast("double").alias("close")), PRICE)
     store.write_manifest(spark, base)
     rows.write.mode("overwrite").json(f"{out}/rankings/{date}")
