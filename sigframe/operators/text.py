@@ -57,8 +57,8 @@ LEXICON = {
 NEGATIONS, TURN, SPREAD = ("not", "never", "no"), -0.74, 15.0
 
 
-def sentiment(text: str = "text", lexicon: dict[str, float] | None = None) -> Column:
-    """Polarity in [-1, 1]: the words' sum over its root with 15 added under it; "not" before a word turns it.
+def sentiment(text: str = "text", lexicon: dict[str, float] | None = None, negations: tuple = NEGATIONS) -> Column:
+    """Polarity in [-1, 1]: the words' sum over the root of its square and 15; a negation before a word turns it.
 
     One pass over the words of a text inside the JVM; the lexicon is a map literal.
     """
@@ -68,7 +68,7 @@ def sentiment(text: str = "text", lexicon: dict[str, float] | None = None) -> Co
 
     def add(so_far: Column, word: Column) -> Column:
         worth = F.coalesce(F.try_element_at(words, word), F.lit(0.0)) * 4
-        turned = F.when(so_far["before"].isin(*NEGATIONS), worth * TURN).otherwise(worth)
+        turned = F.when(so_far["before"].isin(*negations), worth * TURN).otherwise(worth)
         return F.struct((so_far["sum"] + turned).alias("sum"), word.alias("before"))
 
     return F.aggregate(plain, start, add, lambda done: done["sum"] / F.sqrt(done["sum"] * done["sum"] + SPREAD))

@@ -592,9 +592,30 @@ def _(spark, d):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "user_id", "n")
 
 
-@query("q_sentiment")
+def _polarity(lexicon: dict, negations: tuple) -> str:
+    edge = """[.,;:!?"''()]+"""
+    values = ", ".join(f"('{w}', {v}::DOUBLE)" for w, v in lexicon.items())
+    return f"""WITH lexicon(word, worth) AS (VALUES {values}),
+  pieces AS (SELECT doc_id, string_split_regex(trim(lower(coalesce(text, ''))), '[ \\t\\n\\x0B\\f\\r]+') AS p FROM documents),
+  words AS (SELECT doc_id, unnest(p) AS raw, generate_subscripts(p, 1) AS k FROM pieces),
+  plain AS (SELECT doc_id, k, regexp_replace(raw, '^{edge}|{edge}$', '', 'g') AS word FROM words),
+  turned AS (SELECT doc_id, word, coalesce(lag(word) OVER (PARTITION BY doc_id ORDER BY k) IN ({", ".join(f"'{w}'" for w in negations)}), false) AS turned FROM plain),
+  sums AS (SELECT doc_id, sum(coalesce(worth, 0) * 4 * CASE WHEN turned THEN {TX.TURN}::DOUBLE ELSE 1 END) AS s FROM turned LEFT JOIN lexicon USING (word) GROUP BY doc_id)
+  SELECT doc_id, round(s / sqrt(s * s + {TX.SPREAD}::DOUBLE), 6) + 0.0 AS sentiment FROM sums"""
+
+
+@query("q_sentiment", _polarity(TX.LEXICON, TX.NEGATIONS))
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", (F.round(TX.sentiment(), 6) + 0.0).alias("sentiment"))
+
+
+#: A lexicon and negations that the tables' texts do have.
+_FREQUENT, _TURNS = {"of": -0.11, "to": 0.13, "that": -0.29, "it": 0.31, "was": -0.37, "la": 0.05, "que": -0.07, "und": 0.17, "be": 0.23}, ("the", "de", "der", "is")
+
+
+@query("q_sentiment_lexicon", _polarity(_FREQUENT, _TURNS))
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", TX.sentiment().alias("sentiment"))
+    return table(spark, d, "documents").select("doc_id", (F.round(TX.sentiment("text", _FREQUENT, _TURNS), 6) + 0.0).alias("sentiment"))
 
 
 # Learning.
