@@ -28,7 +28,7 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judges every page by the rules, else by trust and distrust over host links."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return linkgraph.judge_pages(pages).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+    return linkgraph.judge_pages(pages).select("page_id", "host", "path", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +107,67 @@ SELECT conv_id, count(*) AS n_turns,
 FROM said GROUP BY conv_id
 """
 
+#: All 200-byte windows by name; texts in hexadecimal, in pieces of 1,000 window starts.
+_OP7 = """
+WITH texts AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (SELECT *, length(h) // 2 AS n FROM texts),
+pieces AS (SELECT row, k * 1000 AS base, substr(h, k * 2000 + 1, 2398) AS p FROM (SELECT row, h, unnest(range((n - 200) // 1000 + 1)) AS k FROM sized WHERE n >= 200)),
+windows AS (SELECT row, base + i AS s, md5_number(substr(p, 2 * i + 1, 400)) AS name FROM (SELECT row, base, p, unnest(range(length(p) // 2 - 199)) AS i FROM pieces)),
+shared AS (SELECT row, s FROM windows WHERE name IN (SELECT name FROM windows GROUP BY name HAVING count(*) > 1)),
+marked AS (SELECT row, s, coalesce(s > lag(s) OVER (PARTITION BY row ORDER BY s) + 200, true)::INT AS first FROM shared),
+numbered AS (SELECT row, s, sum(first) OVER (PARTITION BY row ORDER BY s) AS run FROM marked),
+runs AS (SELECT row, min(s) AS a, max(s) + 200 AS b FROM numbered GROUP BY row, run),
+stay AS (SELECT row, coalesce(lag(b) OVER (PARTITION BY row ORDER BY a), 0) AS f, a AS t, 1 AS spans FROM runs
+  UNION ALL SELECT row, coalesce(last, 0), n, 0 FROM sized LEFT JOIN (SELECT row, max(b) AS last FROM runs GROUP BY row) USING (row))
+SELECT doc_id, n AS n_bytes, (n - sum(t - f))::BIGINT AS n_removed, sum(spans)::BIGINT AS n_spans,
+  sha256(unhex(string_agg(substr(h, 2 * f + 1, 2 * (t - f)), '' ORDER BY f))) AS kept_sha256
+FROM sized JOIN stay USING (row) GROUP BY row, doc_id, n
+"""
+
+
+
+def _spread_sql(name: str, src: str, dst: str) -> str:
+    """CTEs {name}_0.. of personalised PageRank over the edges from `src` to `dst`, and {name}: host, score."""
+    steps = [f"""{name}_shares AS MATERIALIZED (SELECT *, weight / sum(weight) OVER (PARTITION BY src) AS share,
+    CASE WHEN down THEN 0 ELSE weight / sum(weight) FILTER (WHERE NOT down) OVER (PARTITION BY src) END AS risen
+    FROM (SELECT {src} AS src, {dst} AS dst, weight, ends_with({src}, '.' || {dst}) AS up, ends_with({dst}, '.' || {src}) AS down FROM edges)),
+  {name}_0 AS (SELECT host, false AS rose, {name}_seed AS score FROM seeds WHERE {name}_seed > 0)"""]
+    for k in range(linkgraph.ROUNDS):
+        steps.append(f"""{name}_{k + 1} AS MATERIALIZED (SELECT host, rose, sum(score) AS score FROM (
+    SELECT e.dst AS host, e.up AS rose, t.score * CASE WHEN t.rose THEN e.risen ELSE e.share END * {linkgraph.DAMPING}::DOUBLE AS score
+    FROM {name}_shares e JOIN {name}_{k} t ON e.src = t.host WHERE CASE WHEN t.rose THEN e.risen ELSE e.share END > 0
+    UNION ALL SELECT host, false, {name}_seed * {1 - linkgraph.DAMPING}::DOUBLE FROM seeds WHERE {name}_seed > 0) GROUP BY host, rose)""")
+    steps.append(f"{name} AS (SELECT host, sum(score) AS {name} FROM {name}_{linkgraph.ROUNDS} GROUP BY host)")
+    return ",\n  ".join(steps)
+
+
+_RULED = sorted(linkgraph.RULES, key=lambda r: (len(r[0] + r[1]), r[0] + r[1]), reverse=True)
+_FITS = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for h, p, v in _RULED]
+_LOWER = "translate(coalesce(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_REGISTRY = ", ".join(f"'{w}'" for w in linkgraph.REGISTRY)
+
+_OP3 = rf"""
+WITH placed AS (SELECT page_id, {_LOWER.format("url")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(html, '') AS html FROM pages),
+  ruled AS (SELECT page_id, host, path, CASE {" ".join(f"WHEN {fits} THEN '{r}'" for fits, r, _ in _FITS)} END AS rule, CASE {" ".join(f"WHEN {fits} THEN '{v}'" for fits, _, v in _FITS)} END AS ruling FROM placed),
+  found AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?([a-z][a-z0-9+.-]*://[^"''\s>]+)', 1)) AS link FROM placed),
+  links AS (SELECT src, {_LOWER.format("link")} AS dst FROM found),
+  linked AS (SELECT src, dst, count(*)::DOUBLE AS weight FROM links WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+  hosts AS (SELECT host, string_split(host, '.') AS x FROM (SELECT host FROM placed UNION SELECT dst FROM linked) WHERE host <> ''),
+  named AS (SELECT x, CASE WHEN length(x[-1]) = 2 AND len(x) > 1 AND x[-2] IN ({_REGISTRY}) THEN 2 ELSE 1 END AS suffix FROM hosts),
+  rising AS (SELECT x, unnest(range(len(x) - suffix - 1)) AS k FROM named WHERE len(x) > suffix + 1),
+  up AS (SELECT DISTINCT array_to_string(x[k + 1:], '.') AS src, array_to_string(x[k + 2:], '.') AS dst FROM rising),
+  edges AS MATERIALIZED (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM linked UNION ALL SELECT src, dst, 1 FROM (SELECT src, dst FROM up UNION SELECT dst, src FROM up)) GROUP BY src, dst),
+  counts AS (SELECT host, count(*) FILTER (WHERE ruling = 'allow') AS allowed, count(*) FILTER (WHERE ruling = 'block') AS blocked FROM ruled WHERE host <> '' AND rule IS NOT NULL GROUP BY host),
+  seeds AS MATERIALIZED (SELECT host, coalesce(allowed / nullif(sum(allowed) OVER (), 0), 0) AS trust_seed, coalesce(blocked / nullif(sum(blocked) OVER (), 0), 0) AS distrust_seed FROM counts),
+  {_spread_sql("trust", "src", "dst")},
+  {_spread_sql("distrust", "dst", "src")}
+SELECT page_id, host, path, rule, coalesce(ruling, CASE WHEN coalesce(distrust, 0) > {linkgraph.RATIO} * coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict,
+  round(coalesce(trust, 0), 9) AS trust, round(coalesce(distrust, 0), 9) AS distrust
+FROM ruled LEFT JOIN trust USING (host) LEFT JOIN distrust USING (host)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": _OP3,
     "op6_chat_format": _OP6,
+    "op7_repeated_bytes": _OP7,
 }

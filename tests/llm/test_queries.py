@@ -92,11 +92,13 @@ def test_op5(spark, sf, docs):
             assert got[k]["near_next"] == 1.0
 
 
-def test_op6_equals_sql(spark, sf, duck):
-    df = entry.queries()["op6_chat_format"](spark, sf)
-    cur = duck.execute(entry.oracle_sql()["op6_chat_format"])
+@pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
+def test_equals_sql(spark, sf, duck, name):
+    df = entry.queries()[name](spark, sf)
+    cur = duck.execute(entry.oracle_sql()[name])
     names = [c[0] for c in cur.description]
-    assert sorted(tuple(r) for r in df.select(*names).collect()) == sorted(cur.fetchall())
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(repr, (tuple(r) for r in df.select(*names).collect()))) == sorted(map(repr, cur.fetchall()))
 
 
 def test_op7(spark, sf, docs):
