@@ -51,3 +51,13 @@ def running(rows: DataFrame, by: list[str], order: list[str], amount: str = "_on
     inside = F.sum(amount).over(Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(amount)
     placed = dealt.withColumn("_inside", inside).join(offsets, [*by, "_part"])
     return placed.withColumn("_before", F.col("_below") + F.col("_inside")).drop("_part", "_inside", "_below", "_one")
+
+
+def ranked01(rows: DataFrame, by: list[str], x: str, out: str) -> DataFrame:
+    """rows with `out`, which equals rank01; groups may be whole tables, as positions come from counts per value.
+
+    x must be known in all rows.
+    """
+    values = running(rows.groupBy(*by, x).agg(F.count("*").alias("_n")), by, [x], "_n")
+    places = values.select(*by, x, ((F.col("_before") + (F.col("_n") - 1) / 2.0) / F.greatest(F.col("_total") - 1, F.lit(1))).alias(out))
+    return rows.join(places, [*by, x])

@@ -7,13 +7,13 @@ from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigframe.functions.ranks import rank01
+from sigframe.functions.ranks import rank01, ranked01
 from sigframe.operators import metrics as M
 from sigframe.operators.labels import purged, walk_forward_folds
 from sigframe.session import kept
@@ -21,6 +21,8 @@ from sigframe.session import kept
 MIN_DATES, MIN_EXAMPLES = 8, 200
 #: Training rows of a part.
 PART_ROWS = 50_000
+#: Bins of a feature for trees, by quantiles; a feature of so many values at most has a bin for each.
+BINS = 32
 
 
 def _stats(train: DataFrame, keys: list[str]) -> dict[str, tuple[float, float]]:
@@ -41,7 +43,44 @@ def fit_logistic(train: DataFrame, l2: float = 1.0):
 
 
 def fit_trees(train: DataFrame, rounds: int = 200, seed: int = 0):
-    return GBTClassifier(featuresCol="x", labelCol="label", maxDepth=3, stepSize=0.05, maxIter=rounds, seed=seed).fit(train)
+    """Of x (bins), label, weight. The learner's own limit of bins lies above ours, so that it leaves them as they are."""
+    return GBTClassifier(featuresCol="x", labelCol="label", weightCol="weight", maxBins=8 * BINS, maxDepth=3, stepSize=0.05, maxIter=rounds, seed=seed).fit(train)
+
+
+def bin_edges(train: DataFrame, count: int) -> list[list[float]]:
+    """Per element of x the values that begin a bin, from all rows."""
+    v = train.select(*[vector_to_array("x")[i].alias(f"_{i}") for i in range(count)])
+    at = F.array(*[F.lit(k / BINS) for k in range(1, BINS)])
+    found = v.agg(*[a for i in range(count) for a in (F.percentile_approx(f"_{i}", at, 10_000).alias(f"q{i}"), F.approx_count_distinct(f"_{i}").alias(f"n{i}"))]).first()
+    few = [i for i in range(count) if found[f"n{i}"] <= 2 * BINS]
+    each = v.agg(*[F.collect_set(f"_{i}").alias(f"s{i}") for i in few]).first() if few else None
+    edges = [sorted(set(found[f"q{i}"] or [])) for i in range(count)]
+    for i in few:
+        if len(each[f"s{i}"]) <= BINS:
+            edges[i] = sorted(each[f"s{i}"])[1:]
+    return edges
+
+
+def binned(rows: DataFrame, edges: list[list[float]], out: str) -> DataFrame:
+    """rows with `out`: the bins of the elements of x."""
+    names, bins = [f"_v{i}" for i in range(len(edges))], [f"_b{i}" for i in range(len(edges))]
+    wide = rows.select("*", *[vector_to_array("x")[i].alias(n) for i, n in enumerate(names)])
+    splits = [[float("-inf"), *(e or [0.0]), float("inf")] for e in edges]
+    wide = Bucketizer(splitsArray=splits, inputCols=names, outputCols=bins, handleInvalid="keep").transform(wide)
+    return VectorAssembler(inputCols=bins, outputCol=out).transform(wide).drop(*names, *bins)
+
+
+class BinnedTrees:
+    """Boosted trees over bins. Rows of the same bins and label are the same to every tree, at every round, so they
+    are boosted as one row of their number's weight: 200 rounds go over the different cells, not over all rows."""
+
+    def __init__(self, train: DataFrame, count: int):
+        self.edges = bin_edges(train, count)
+        cells = kept(binned(train, self.edges, "_bins").groupBy("_bins", "label").agg(F.count("*").cast("double").alias("weight")).withColumnRenamed("_bins", "x"), "cells")
+        self.model = fit_trees(cells.repartition(1 + cells.count() // PART_ROWS)).setFeaturesCol("_bins")
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return self.model.transform(binned(rows, self.edges, "_bins")).drop("_bins")
 
 
 def scored(model, rows: DataFrame, name: str) -> DataFrame:
@@ -77,9 +116,13 @@ def walk_forward(labeled: DataFrame, keys: list[str], folds: int = 4, embargo: i
         part = scored(fit_logistic(x), matrix(test, keys, stats), "_a")
         names = ["_a"]
         if trees:
-            part = scored(fit_trees(x), part, "_b")
+            part = kept(scored(BinnedTrees(x, len(keys)), part, "_b").drop("x"), "fold")
             names.append("_b")
-        part = rank_averaged(part, ["fold"], names) if trees else part.withColumn("score", F.col("_a"))
+            for n in names:
+                part = ranked01(part, ["fold"], n, f"{n}r")
+            part = part.withColumn("score", sum((F.col(f"{n}r") for n in names), F.lit(0.0)) / len(names)).drop(*[f"{n}r" for n in names])
+        else:
+            part = part.withColumn("score", F.col("_a"))
         return kept(part.drop("x", *names), "fold")
 
     with ThreadPoolExecutor(folds) as pool:  # folds don't wait for each other
@@ -88,8 +131,9 @@ def walk_forward(labeled: DataFrame, keys: list[str], folds: int = 4, embargo: i
 
 
 def calibrate(scores: DataFrame, score: str = "score", label: str = "label"):
-    """Isotonic regression of the label on the score."""
-    return IsotonicRegression(featuresCol=score, labelCol=label).fit(scores)
+    """Isotonic regression of the label on the score; rows of equal score count as one of their mean and number."""
+    values = scores.groupBy(score).agg(F.avg(label).alias(label), F.count("*").cast("double").alias("_weight"))
+    return IsotonicRegression(featuresCol=score, labelCol=label, weightCol="_weight").fit(values)
 
 
 def calibrated(model, rows: DataFrame, out: str = "p") -> DataFrame:

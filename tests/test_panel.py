@@ -166,6 +166,37 @@ def test_trees_boost_as_often_as_the_reference(monkeypatch):
     assert (asked["maxIter"], asked["maxDepth"], asked["stepSize"]) == (200, 3, 0.05)
 
 
+def test_trees_boost_cells_not_rows(spark, monkeypatch):
+    """Rows of equal bins and label reach the rounds as one of their weight; bins keep few values apart."""
+    rng = np.random.default_rng(40)
+    rows = [(float(rng.integers(3)), float(a), float(a + rng.normal() > 0)) for a in rng.normal(size=4000)]
+    x = model.matrix(spark.createDataFrame(rows, "a double, b double, label double"), ["a", "b"], {"a": (0.0, 1.0), "b": (0.0, 1.0)})
+    seen = {}
+    fit = model.fit_trees
+
+    def few_rounds(train):
+        seen["rows"], seen["weight"] = train.agg(F.count("*"), F.sum("weight")).first()
+        return fit(train, 3)
+
+    monkeypatch.setattr(model, "fit_trees", few_rounds)
+    trees = model.BinnedTrees(x, 2)
+    assert seen["weight"] == 4000 and seen["rows"] <= 2 * 3 * model.BINS
+    assert trees.edges[0] == [1.0, 2.0] and len(trees.edges[1]) == model.BINS - 1
+    got = {(r["a"], r["b"]): r["p"] for r in model.scored(trees, x, "p").collect()}
+    full = model.binned(x, trees.edges, "bins").drop("x").withColumnRenamed("bins", "x").withColumn("weight", F.lit(1.0))
+    want = {(r["a"], r["b"]): r["p"] for r in model.scored(fit(full, 3), full, "p").collect()}
+    assert all(abs(got[k] - p) < 1e-9 for k, p in want.items())
+
+
+def test_ranks_by_counts_equal_ranks_by_windows(spark):
+    from sigframe.functions.ranks import rank01, ranked01
+
+    rng = np.random.default_rng(41)
+    df = spark.createDataFrame([(int(g), float(v)) for g, v in rng.integers(0, 9, (300, 2))] + [(99, 1.0)], "g int, v double")
+    got = ranked01(df, ["g"], "v", "r").withColumn("w", rank01(["g"], "v")).select("r", "w").collect()
+    assert len(got) == 301 and all(r["r"] == r["w"] for r in got)
+
+
 def test_isotonic_pools(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 0.0), (3.0, 1.0)], "score double, label double")
     iso = model.calibrate(df)
