@@ -7,14 +7,10 @@ four levels), 16 filters a packed 32-bit integer.
 
 Recordings are linked by landmarks: `RUN` equal integers in a row, of which the least hash of each
 `PICK` neighbours is kept, so that any RUN + PICK - 1 equal integers in a row share one. A landmark
-proposes pairs of its holders only: each with the least one and with the one before it, once in the
-order of ids and once in that of their hashes, so that a holder that stands between two others in one
-order hardly does in the other. The holders of a landmark are dealt by range, a common one to several
-tasks, each of which takes its own least; rows are in proportion to the places. A pair is
-aligned if one landmark in `SUPPORT` of the later recording proposes it, which bounds the pairs of a
-recording whatever it has in common with others. Aligning counts the offsets of all landmarks that both hold, at all
+proposes all pairs of its holders, whatever their number, and every pair that shares one is aligned: no link between
+different recordings is left out, and the work is quadratic only in the different recordings that share a landmark. Aligning counts the offsets of all landmarks that both hold, at all
 their places; the highest bin is the alignment, and the bit errors over the whole overlap decide:
-recordings are the same, and join a group, where at most `SAME_ERRORS` of the bits differ and the
+recordings are the same, are linked and join a group, where at most `SAME_ERRORS` of the bits differ and the
 overlap is at least `COVER` of the shorter one.
 
 Media here: a column of bytes, read as unsigned 8-bit mono samples (`pcm8`) or as little-endian
@@ -48,8 +44,8 @@ RUN, PICK = 4, 4
 PIECE_FRAMES = 1 << 14
 #: Two recordings are the same if so many of the compared bits differ at most, over so much of the shorter one.
 SAME_ERRORS, COVER = 0.15, 0.5
-#: A pair is aligned if one landmark in so many proposes it.
-SUPPORT = 100
+#: Holders of a landmark that a task pairs with as many others; pairs that a task aligns.
+BLOCK, TILE_PAIRS = 256, 4096
 #: Matches of one landmark in two recordings from which on their offsets are counted by a Fourier transform.
 MANY_MATCHES = 1 << 14
 
@@ -173,60 +169,57 @@ def fingerprints(recordings: DataFrame, kind: str = "pcm8", rate: int = RATE, fr
 
 
 def _holders(classes: DataFrame) -> DataFrame:
-    """landmark, node, n: the different landmarks of each recording, and how many it has."""
+    """landmark, node: the different landmarks of each recording."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for node, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 h = np.unique(landmarks(np.frombuffer(raw, "<u4"))[1])
                 if len(h):
-                    yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(np.full(len(h), node, np.int64)), pa.array(np.full(len(h), len(h), np.int32))], names=["landmark", "node", "n"])
+                    yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(np.full(len(h), node, np.int64))], names=["landmark", "node"])
 
-    return classes.select("node", "ints").mapInArrow(run, "landmark long, node long, n int")
+    return classes.select("node", "ints").mapInArrow(run, "landmark long, node long")
 
 
-def _proposed(holders: DataFrame, order) -> DataFrame:
-    """id, other (the lesser), n (landmarks of id): each holder of a landmark with the least one of its task and
-    with the one before it."""
+def _proposed(holders: DataFrame) -> DataFrame:
+    """id, other (the lesser): all pairs of holders of a landmark.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark, node, n, first = (np.zeros(0, np.int64) for _ in range(4))
-        for b in batches:
-            if not b.num_rows:
-                continue
-            mark, node, n = (np.concatenate([old[-1:], b.column(k).to_numpy().astype(np.int64)]) for k, old in enumerate((mark, node, n)))
-            same = mark[1:] == mark[:-1]
-            start = np.flatnonzero(np.r_[True, ~same])
-            least = start[np.cumsum(np.r_[True, ~same]) - 1]
-            head, head_n = node[least], n[least]
-            if len(first):  # the first run goes on from the batch before
-                going = least == 0
-                head, head_n = np.where(going, first[0], head), np.where(going, first[1], head_n)
-            first = np.array([head[-1], head_n[-1]])
-            out = []
-            for other, other_n in ((node[:-1], n[:-1]), (head[1:], head_n[1:])):
-                a, c, k, m = node[1:][same], other[same], n[1:][same], other_n[same]
-                out.append((np.maximum(a, c), np.minimum(a, c), np.where(a > c, k, m)))
-            last = (out[1][1] != out[0][1]) | (out[1][0] != out[0][0])
-            x, y, z = (np.concatenate([p, q[last]]) for p, q in zip(*out, strict=True))
-            if len(x):
-                yield pa.record_batch([pa.array(x), pa.array(y), pa.array(z.astype(np.int32))], names=["id", "other", "n"])
-
-    dealt = holders.withColumn("at", order).repartitionByRange("landmark", "at").sortWithinPartitions("landmark", "at")
-    return dealt.select("landmark", "node", "n").mapInArrow(run, "id long, other long, n int")
-
-
-def best_offset(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
-    """(shift, votes): the commonest place less other place of landmarks in both; of equals the least shift, then the greater."""
-    (at, h), (other_at, other_h) = landmarks(x), landmarks(y)
+    A landmark's holders are dealt into blocks by their hashes, and a task gets the pairs of two blocks, so
+    that a common landmark is shared by many tasks.
+    """
+    shared = holders.groupBy("landmark").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    held = holders.join(shared, "landmark").withColumn("blocks", blocks).withColumn("own", F.expr("pmod(xxhash64(node), blocks)").cast("int"))
+    held = held.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = held.select("landmark", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "own", "node")
+    second = dealt.select("landmark", "lo", "hi", F.col("own").alias("facing"), F.col("node").alias("other"))
+    pairs = dealt.hint("merge").join(second, ["landmark", "lo", "hi"]).where("node > other AND (lo = hi OR own <> facing)")
+    return pairs.select(F.col("node").alias("id"), "other").distinct()
+
+
+def _by_hash(ints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the landmarks in the order of their hashes; the different hashes, where each begins and ends."""
+    at, h = landmarks(ints)
+    order = np.argsort(h, kind="stable")
+    at, h = at[order], h[order]
+    start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    return at, h[start], start, np.r_[start[1:], len(h)] if len(h) else start
+
+
+def best_offset(x: np.ndarray, y: np.ndarray, marks: tuple | None = None, other_marks: tuple | None = None) -> tuple[int, int]:
+    """(shift, votes): the commonest place less other place of landmarks in both; of equals the least shift, then the greater.
+
+    `marks` are the landmarks by hash (`_by_hash`), where they are known.
+    """
+    at, h, start, end = marks or _by_hash(x)
+    other_at, other_h, other_start, other_end = other_marks or _by_hash(y)
     size = len(x) + len(y)
     votes = np.zeros(2 * size, np.int64)
-    order, other_order = np.argsort(h, kind="stable"), np.argsort(other_h, kind="stable")
-    at, h, other_at, other_h = at[order], h[order], other_at[other_order], other_h[other_order]
-    both = np.intersect1d(h, other_h)
-    a0, a1 = np.searchsorted(h, both, "left"), np.searchsorted(h, both, "right")
-    b0, b1 = np.searchsorted(other_h, both, "left"), np.searchsorted(other_h, both, "right")
-    few = (a1 - a0) * (b1 - b0) <= MANY_MATCHES
+    _, i, j = np.intersect1d(h, other_h, assume_unique=True, return_indices=True)
+    a0, a1, b0, b1 = start[i], end[i], other_start[j], other_end[j]
+    wide_b = b1 - b0
+    matches = (a1 - a0) * wide_b
+    few = matches <= MANY_MATCHES
     for k in np.flatnonzero(~few):  # as in silence: the product would be all pairs of places
         wide = 1 << (size - 1).bit_length()
         here, there = np.zeros(wide), np.zeros(wide)
@@ -235,33 +228,54 @@ def best_offset(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
         count = np.rint(np.fft.irfft(np.fft.rfft(here) * np.conj(np.fft.rfft(there)), wide)).astype(np.int64)
         shift = np.arange(-len(y), len(x))
         votes[shift + size] += count[shift % wide]
-    for k in np.flatnonzero(few):
-        shift = at[a0[k] : a1[k], None] - other_at[None, b0[k] : b1[k]]
-        np.add.at(votes, shift.reshape(-1) + size, 1)
+    some = np.flatnonzero(few)
+    for k in range(0, len(some), 64):  # so many landmarks at once
+        part = some[k : k + 64]
+        m = matches[part]
+        own = np.arange(m.sum()) - np.repeat(m.cumsum() - m, m)
+        each = np.repeat(wide_b[part], m)
+        shift = at[np.repeat(a0[part], m) + own // each] - other_at[np.repeat(b0[part], m) + own % each]
+        votes += np.bincount(shift + size, minlength=2 * size)
     best = np.flatnonzero(votes == votes.max()) - size
     best = best[np.abs(best) == np.abs(best).min()].max()
     return int(best), int(votes.max())
 
 
-def _aligned(pairs: DataFrame) -> DataFrame:
-    """Pairs (id, other, ints, other_ints) with shift, votes, bit_errors, bits and whether they are the same."""
+def _compared(x: np.ndarray, y: np.ndarray, marks: tuple, other_marks: tuple) -> tuple[int, int, int, int, bool]:
+    """shift, votes, bit_errors, bits, same."""
+    shift, votes = best_offset(x, y, marks, other_marks)
+    least = min(len(x), len(y))
+    x, y = x[max(0, shift) :], y[max(0, -shift) :]
+    n = min(len(x), len(y))
+    errors = int(np.bitwise_count(x[:n] ^ y[:n]).sum())
+    return shift, votes, errors, 32 * n, errors <= SAME_ERRORS * 32 * n and n >= COVER * least
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for a, o in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(a, "<u4"), np.frombuffer(o, "<u4")
-                shift, votes = best_offset(x, y)
-                least = min(len(x), len(y))
-                x, y = x[max(0, shift) :], y[max(0, -shift) :]
-                n = min(len(x), len(y))
-                errors = int(np.bitwise_count(x[:n] ^ y[:n]).sum())
-                out.append((shift, votes, errors, 32 * n, errors <= SAME_ERRORS * 32 * n and n >= COVER * least))
-            cols = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema]
-            yield pa.record_batch([b.column(0), b.column(1), *cols], names=["id", "other", *schema.names])
-
-    schema = pa.schema([("shift", pa.int32()), ("votes", pa.int64()), ("bit_errors", pa.int64()), ("bits", pa.int64()), ("same", pa.bool_())])
-    return pairs.select("id", "other", "ints", "other_ints").mapInArrow(run, "id long, other long, shift int, votes long, bit_errors long, bits long, same boolean")
+
+def _aligned(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (id, other) with shift, votes, bit_errors, bits and whether they are the same.
+
+    Recordings are dealt by their hashes into as many sorts as make tiles of about TILE_PAIRS pairs; a tile gets the
+    integers of each of its recordings once, however many pairs it is in.
+    """
+    sorts = max(1, int(np.ceil(np.sqrt(pairs.count() / TILE_PAIRS))))
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(sorts))
+    tiled = pairs.withColumn("tile", of("id") * sorts + of("other"))
+    both = tiled.select(F.col("tile").alias("at"), F.explode(F.array("id", "other")).alias("node")).distinct()
+    ints = both.join(classes.select("node", "ints").hint("merge"), "node").select("at", "node", "ints")
+    schema = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("shift", pa.int32()), ("votes", pa.int64()), ("bit_errors", pa.int64()), ("bits", pa.int64()), ("same", pa.bool_())])
+
+    def run(two: pa.Table, held: pa.Table) -> pa.Table:
+        known = {}
+        for node, raw in zip(held["node"].to_pylist(), held["ints"].to_pylist(), strict=True):
+            x = np.frombuffer(raw, "<u4")
+            known[node] = x, _by_hash(x)
+        out = []
+        for a, o in zip(two["id"].to_pylist(), two["other"].to_pylist(), strict=True):
+            (x, marks), (y, other_marks) = known[a], known[o]
+            out.append((a, o, *_compared(x, y, marks, other_marks)))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema) if out else schema.empty_table()
+
+    return tiled.groupBy("tile").cogroup(ints.groupBy("at")).applyInArrow(run, "id long, other long, shift int, votes long, bit_errors long, bits long, same boolean")
 
 
 def align(recordings: DataFrame, kind: str = "pcm8", rate: int = RATE, frame: int = FRAME, hop: int = HOP) -> DataFrame:
@@ -269,7 +283,8 @@ def align(recordings: DataFrame, kind: str = "pcm8", rate: int = RATE, frame: in
 
     id, n_ints, mark (digest of the integers), class_id (least id of equal integers), group_id (least
     id reachable over recordings that are the same), and its best alignment with an earlier recording of
-    another fingerprint, null where there is none: other, shift (frames), votes, bit_errors, bits, same.
+    another fingerprint, null where there is none: other, shift (frames), votes, bit_errors, bits, same;
+    links: the number of other fingerprints that are the same.
     """
     spark = recordings.sparkSession
     cuts = Cuts(spark, "chroma")
@@ -278,22 +293,18 @@ def align(recordings: DataFrame, kind: str = "pcm8", rate: int = RATE, frame: in
     marked = cuts.write(fingerprints(rows, kind, rate, frame, hop))
     classes = cuts.write(marked.groupBy("mark").agg(F.min("row").alias("node"), F.min("id").alias("class_id"), F.min("ints").alias("ints")))
     holders = cuts.write(_holders(classes))
-    small_batches(spark, 1 << 15)
-    proposed = _proposed(holders, F.col("node")).union(_proposed(holders, F.xxhash64("node")))
-    pairs = proposed.groupBy("id", "other").agg(F.count("*").alias("marks"), F.max("n").alias("n")).where(F.col("marks") * SUPPORT >= F.col("n"))
-    pairs = cuts.write(pairs.select("id", "other"))
+    pairs = cuts.write(_proposed(holders))
     cuts.drop(holders)
-    small_batches(spark)
-    own = classes.select(F.col("node").alias("id"), "ints")
-    other = classes.select(F.col("node").alias("other"), F.col("ints").alias("other_ints"))
-    aligned = cuts.write(_aligned(pairs.join(own.hint("merge"), "id").join(other.hint("merge"), "other")))
+    aligned = cuts.write(_aligned(pairs, classes))
+    cuts.drop(pairs)
     roots = components(aligned.where("same").select(F.col("id").alias("a"), F.col("other").alias("b")), cuts)
     best = aligned.groupBy("id").agg(F.max(F.struct("same", "votes", (-F.col("other")).alias("less"), "other", "shift", "bit_errors", "bits")).alias("x"))
     best = best.select(F.col("id").alias("node"), "x.other", "x.shift", "x.votes", "x.bit_errors", "x.bits", "x.same")
+    linked = aligned.where("same").select(F.explode(F.array("id", "other")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     named = classes.select("mark", "node", "class_id").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = cuts.write(named.groupBy("root").agg(F.min("class_id").alias("group_id")))
     best = best.join(classes.select(F.col("node").alias("other"), F.col("class_id").alias("other_id")).hint("merge"), "other").drop("other").withColumnRenamed("other_id", "other")
-    per_class = cuts.write(named.join(groups.hint("merge"), "root").join(best.hint("merge"), "node", "left").drop("root", "node"))
+    per_class = cuts.write(named.join(groups.hint("merge"), "root").join(best.hint("merge"), "node", "left").join(linked.hint("merge"), "node", "left").fillna(0, ["links"]).drop("root", "node"))
     cuts.only(marked, per_class)
     out = marked.join(per_class.hint("merge"), "mark").withColumn("n_ints", (F.length("ints") / 4).cast("long"))
-    return out.select("id", "n_ints", "mark", "class_id", "group_id", "other", "shift", "votes", "bit_errors", "bits", "same")
+    return out.select("id", "n_ints", "mark", "class_id", "group_id", "other", "shift", "votes", "bit_errors", "bits", "same", "links")

@@ -126,6 +126,38 @@ def test_unrelated_tunes_stay_apart(spark):
         assert (r["shift"], r["votes"], r["bit_errors"], r["bits"], r["same"]) == plain_alignment(ints[r["id"]], ints[r["other"]])
 
 
+def test_every_pair_that_shares_a_landmark_is_aligned(spark, monkeypatch):
+    """Takes of one tune, each with its own noise in half of it, and tunes that only share a passage: links, groups and
+    best alignments equal those of all pairs, also where a landmark's holders take several blocks."""
+    monkeypatch.setattr(chroma, "BLOCK", 3)
+    monkeypatch.setattr(chroma, "TILE_PAIRS", 16)
+    rng = np.random.default_rng(32)
+    base, passage = tune(rng, 4), tune(rng, 1)
+    takes = []
+    for _ in range(14):
+        noise = rng.normal(size=len(base)) * 0.05 * (rng.random(len(base) // 2000 + 1) < 0.4).repeat(2000)[: len(base)]
+        takes.append(base + noise)
+    takes += [np.concatenate([tune(rng, 3), np.zeros(0), passage]) for _ in range(8)]
+    rows = [(k, (x * 9000).astype("<i2").tobytes()) for k, x in enumerate(takes)]
+    got = {r["id"]: r for r in chroma.align(spark.createDataFrame(rows, "id long, audio binary"), kind="pcm16").collect()}
+    ints = {k: chroma.fingerprint(a, "pcm16") for k, a in rows}
+    found = {(k, o): plain_alignment(ints[k], ints[o]) for k in ints for o in ints if o < k}
+    found = {p: x for p, x in found.items() if x}
+    root = {k: k for k in ints}
+    for (k, o), x in sorted(found.items()):
+        if x[4]:
+            a, b = sorted((root[k], root[o]))
+            root = {n: a if r == b else r for n, r in root.items()}
+    for k in ints:
+        best = max(((x[4], x[1], -o, o, x) for (n, o), x in found.items() if n == k), default=None)
+        assert got[k]["links"] == sum(x[4] for p, x in found.items() if k in p), k
+        assert got[k]["group_id"] == root[k]
+        assert got[k]["other"] == (best and best[3])
+        if best:
+            assert tuple(got[k][c] for c in ("shift", "votes", "bit_errors", "bits", "same")) == best[4]
+    assert sum(x[4] for x in found.values()) > 20
+
+
 def test_integral_image_sums(spark):
     rng = np.random.default_rng(3)
     rows = rng.random((40, 12))
