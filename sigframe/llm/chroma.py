@@ -8,7 +8,9 @@ four levels), 16 filters a packed 32-bit integer.
 Recordings are linked by landmarks: `RUN` equal integers in a row, of which the least hash of each
 `PICK` neighbours is kept, so that any RUN + PICK - 1 equal integers in a row share one. A landmark
 proposes all pairs of its holders, whatever their number, and every pair that shares one is aligned: no link between
-different recordings is left out, and the work is quadratic only in the different recordings that share a landmark. Aligning counts the offsets of all landmarks that both hold, at all
+different recordings is left out. Pairs are never rows: recordings are dealt into tiles, in which every pair is aligned once, and a tile
+hands on a row per recording: its links there, its best alignment and a root that it reaches over links. Comparing is quadratic in the
+different recordings that share a landmark. Aligning counts the offsets of all landmarks that both hold, at all
 their places; the highest bin is the alignment, and the bit errors over the whole overlap decide:
 recordings are the same, are linked and join a group, where at most `SAME_ERRORS` of the bits differ and the
 overlap is at least `COVER` of the shorter one.
@@ -44,8 +46,10 @@ RUN, PICK = 4, 4
 PIECE_FRAMES = 1 << 14
 #: Two recordings are the same if so many of the compared bits differ at most, over so much of the shorter one.
 SAME_ERRORS, COVER = 0.15, 0.5
-#: Holders of a landmark that a task pairs with as many others; pairs that a task aligns.
-BLOCK, TILE_PAIRS = 256, 4096
+#: Recordings and pairs that a tile has, about; so many tiles from which on their sizes grow as their number does.
+BLOCK, TILE_PAIRS, MANY_TILES = 256, 4096, 256
+#: Matches and compared integers that are held at once while a recording is aligned with others.
+AT_ONCE = 1 << 20
 #: Matches of one landmark in two recordings from which on their offsets are counted by a Fourier transform.
 MANY_MATCHES = 1 << 14
 
@@ -181,20 +185,40 @@ def _holders(classes: DataFrame) -> DataFrame:
     return classes.select("node", "ints").mapInArrow(run, "landmark long, node long")
 
 
-def _proposed(holders: DataFrame) -> DataFrame:
-    """id, other (the lesser): all pairs of holders of a landmark.
+def _shared(holders: DataFrame) -> DataFrame:
+    """landmark, node, n: the landmarks of several recordings, with the number of these."""
+    counts = holders.groupBy("landmark").agg(F.count("*").alias("n")).where("n > 1")
+    return holders.join(counts.hint("merge"), "landmark")
 
-    A landmark's holders are dealt into blocks by their hashes, and a task gets the pairs of two blocks, so
-    that a common landmark is shared by many tasks.
+
+def _sorts(held: DataFrame) -> int:
+    """So many sorts of recordings that each two make a tile of about TILE_PAIRS pairs, or of BLOCK recordings where these have few partners.
+
+    Of more than MANY_TILES tiles, pairs a tile and tiles both grow with the root of all pairs, so that a group of n is
+    dealt in about n ** 1.5 rows. A recording's partners are counted by its commonest landmark.
     """
-    shared = holders.groupBy("landmark").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    held = holders.join(shared, "landmark").withColumn("blocks", blocks).withColumn("own", F.expr("pmod(xxhash64(node), blocks)").cast("int"))
-    held = held.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = held.select("landmark", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "own", "node")
-    second = dealt.select("landmark", "lo", "hi", F.col("own").alias("facing"), F.col("node").alias("other"))
-    pairs = dealt.hint("merge").join(second, ["landmark", "lo", "hi"]).where("node > other AND (lo = hi OR own <> facing)")
-    return pairs.select(F.col("node").alias("id"), "other").distinct()
+    seen = held.groupBy("node").agg((F.max("n") - 1).alias("partners")).agg(F.sum("partners").alias("ends"), F.count("*").alias("nodes")).first()
+    tiles = (seen.ends or 0) / 2 / TILE_PAIRS
+    tiles = max(min(tiles, np.sqrt(MANY_TILES * tiles)), seen.nodes / BLOCK)
+    return max(1, int(np.ceil(np.sqrt(2 * tiles))))
+
+
+def _dealt(held: DataFrame, sorts: int) -> DataFrame:
+    """tile, own, facing, node: each recording once in every tile (two sorts, or one with itself) where it shares a landmark.
+
+    Which sorts hold a landmark is told by bits, 64 in a word, so that neither landmarks nor recordings are paired with each other.
+    """
+    own = F.pmod(F.xxhash64("node"), F.lit(sorts)).cast("int")
+    word = F.expr("CAST(own DIV 64 AS INT)")
+    bit = F.expr("shiftleft(1L, own % 64)")
+    counted = held.withColumn("own", own).groupBy("landmark", "own").agg(F.count("*").alias("c"))
+    words = counted.groupBy("landmark", word.alias("word")).agg(F.bit_or(bit).alias("some"), F.bit_or(F.when(F.col("c") > 1, bit).otherwise(F.lit(0).cast("long"))).alias("several"))
+    met = held.select("landmark", "node", own.alias("own")).join(words.hint("merge"), "landmark")
+    mine = F.when(F.col("word") == word, bit).otherwise(F.lit(0).cast("long"))
+    met = met.withColumn("mine", mine).withColumn("bits", F.expr("(some & ~mine) | (several & mine)"))  # its own sort only where another holder is in it
+    met = met.groupBy("node", "own", "word").agg(F.bit_or("bits").alias("bits"))
+    dealt = met.select("node", "own", F.expr("explode(transform(filter(sequence(0, 63), k -> getbit(bits, k) = 1), k -> word * 64 + k))").alias("facing"))
+    return dealt.select((F.least("own", "facing").cast("long") * sorts + F.greatest("own", "facing")).alias("tile"), "own", "facing", "node")
 
 
 def _by_hash(ints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -251,31 +275,127 @@ def _compared(x: np.ndarray, y: np.ndarray, marks: tuple, other_marks: tuple) ->
     return shift, votes, errors, 32 * n, errors <= SAME_ERRORS * 32 * n and n >= COVER * least
 
 
-def _aligned(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (id, other) with shift, votes, bit_errors, bits and whether they are the same.
-
-    Recordings are dealt by their hashes into as many sorts as make tiles of about TILE_PAIRS pairs; a tile gets the
-    integers of each of its recordings once, however many pairs it is in.
+def _runs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of these sizes laid end to end: the run of each place, and its place in the run."""
+    run = np.repeat(np.arange(len(sizes)), sizes)
+    return run, np.arange(len(run)) - np.repeat(sizes.cumsum() - sizes, sizes)
+
+
+class Tile:
+    """Recordings of different nodes, in the order of their nodes; aligns one of them with all lesser ones of a side at a time."""
+
+    def __init__(self, nodes: np.ndarray, own: np.ndarray, facing: np.ndarray, ints: list[np.ndarray]):
+        self.nodes, self.own, self.facing, self.ints = nodes, own, facing, ints
+        self.marks = [_by_hash(x) for x in ints]
+        self.lens = np.array([len(x) for x in ints])
+        self.base = self.lens.cumsum() - self.lens
+        self.flat = np.concatenate(ints)
+        held = np.array([len(m[0]) for m in self.marks])
+        self.at = np.concatenate([m[0] for m in self.marks])
+        self.hash = np.concatenate([m[1] for m in self.marks])
+        self.rec = np.repeat(np.arange(len(nodes)), [len(m[1]) for m in self.marks])
+        self.start = np.concatenate([m[2] for m in self.marks]) + (held.cumsum() - held)[self.rec]
+        self.count = np.concatenate([m[3] - m[2] for m in self.marks])
+        self.sides = {}
+        for side in np.unique(own):
+            there = np.flatnonzero(own[self.rec] == side)
+            there = there[np.argsort(self.hash[there], kind="stable")]
+            self.sides[side] = there, self.hash[there]
+
+    def _scored(self, a: int, entry: np.ndarray, mark: np.ndarray, other: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """shift, votes, bit errors, bits of `a` with each of `other`, whose entries (places of a landmark) begin at `first`."""
+        at, _, start, end = self.marks[a]
+        matches = (end - start)[mark] * self.count[entry]
+        of, k = _runs(matches)
+        each = self.count[entry][of]
+        shift = at[start[mark][of] + k // each] - self.at[self.start[entry][of] + k % each]
+        rank = (np.searchsorted(first, np.arange(len(entry)), "right") - 1)[of]
+        most = int(max(self.lens[a], self.lens[other].max()))
+        key, votes = np.unique(rank * (2 * most + 1) + shift + most, return_counts=True)
+        rank, shift = key // (2 * most + 1), key % (2 * most + 1) - most
+        order = np.lexsort((-shift, np.abs(shift), -votes, rank))
+        order = order[np.searchsorted(rank[order], np.arange(len(other)))]
+        shift, votes = shift[order], votes[order]
+        here, there = np.maximum(shift, 0), np.maximum(-shift, 0)
+        n = np.minimum(self.lens[a] - here, self.lens[other] - there)
+        of, k = _runs(n)
+        wrong = np.bitwise_count(self.ints[a][here[of] + k] ^ self.flat[(self.base[other] + there)[of] + k])
+        return shift, votes, np.add.reduceat(wrong.astype(np.int64), n.cumsum() - n), 32 * n
+
+    def aligned(self, a: int) -> tuple[np.ndarray, ...] | None:
+        """other (its place in the tile), shift, votes, bit_errors, bits, same: `a` with every lesser recording it faces that shares a landmark."""
+        if self.facing[a] not in self.sides:
+            return None
+        there, hashes = self.sides[self.facing[a]]
+        lo, hi = (np.searchsorted(hashes, self.marks[a][1], side) for side in ("left", "right"))
+        mark, k = _runs(hi - lo)
+        entry = there[lo[mark] + k]
+        lesser = self.rec[entry] < a
+        mark, entry = mark[lesser], entry[lesser]
+        if not len(entry):
+            return None
+        order = np.argsort(self.rec[entry], kind="stable")
+        mark, entry = mark[order], entry[order]
+        matches = (self.marks[a][3] - self.marks[a][2])[mark] * self.count[entry]
+        first = np.flatnonzero(np.r_[True, self.rec[entry[1:]] != self.rec[entry[:-1]]])
+        other, last = self.rec[entry[first]], np.r_[first[1:], len(entry)]
+        work = np.add.reduceat(matches, first)
+        alone = (np.maximum.reduceat(matches, first) > MANY_MATCHES) | (work > AT_ONCE)  # as in silence
+        found = [np.zeros(len(other), np.int64) for _ in range(4)]
+        for k in np.flatnonzero(alone):
+            got = _compared(self.ints[a], self.ints[other[k]], self.marks[a], self.marks[other[k]])
+            for column, value in zip(found, got, strict=False):
+                column[k] = value
+        some = np.flatnonzero(~alone)
+        part = (work + np.minimum(self.lens[a], self.lens[other]))[some].cumsum() // AT_ONCE
+        for chunk in np.split(some, np.flatnonzero(part[1:] != part[:-1]) + 1) if len(some) else ():
+            of, k = _runs(last[chunk] - first[chunk])
+            picked = first[chunk][of] + k
+            begins = np.flatnonzero(k == 0)
+            for column, value in zip(found, self._scored(a, entry[picked], mark[picked], other[chunk], begins), strict=True):
+                column[chunk] = value
+        shift, votes, errors, bits = found
+        return other, shift, votes, errors, bits, (errors <= SAME_ERRORS * bits) & (bits >= COVER * 32 * np.minimum(self.lens[a], self.lens[other]))
+
+    def summed(self) -> dict[str, list]:
+        """A row per recording that is aligned here: its links, a root it reaches over them, and its best alignment with a lesser one."""
+        n = len(self.nodes)
+        links, root, best = np.zeros(n, np.int64), np.arange(n), [None] * n
+        for a in range(n):
+            if (got := self.aligned(a)) is None:
+                continue
+            other, shift, votes, errors, bits, same = got
+            linked = other[same]
+            links[a] += len(linked)
+            links[linked] += 1
+            if len(linked):
+                roots = np.unique(root[np.r_[linked, a]])
+                root[np.isin(root, roots)] = roots[0]
+            k = np.lexsort((other, -votes, ~same))[0]
+            best[a] = (int(self.nodes[other[k]]), int(shift[k]), int(votes[k]), int(errors[k]), int(bits[k]), bool(same[k]))
+        rows = [k for k in range(n) if best[k] or links[k]]
+        out = {"node": self.nodes[rows].tolist(), "root": self.nodes[root[rows]].tolist(), "links": links[rows].tolist()}
+        for c, name in enumerate(("other", "shift", "votes", "bit_errors", "bits", "same")):
+            out[name] = [best[k] and best[k][c] for k in rows]
+        return out
+
+
+def _aligned(held: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, root, links, other, shift, votes, bit_errors, bits, same: a row per recording and tile (`Tile.summed`).
+
+    Every pair that shares a landmark meets in one tile, which gets the integers of each of its recordings once.
     """
-    sorts = max(1, int(np.ceil(np.sqrt(pairs.count() / TILE_PAIRS))))
-    of = lambda c: F.pmod(F.xxhash64(c), F.lit(sorts))
-    tiled = pairs.withColumn("tile", of("id") * sorts + of("other"))
-    both = tiled.select(F.col("tile").alias("at"), F.explode(F.array("id", "other")).alias("node")).distinct()
-    ints = both.join(classes.select("node", "ints").hint("merge"), "node").select("at", "node", "ints")
-    schema = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("shift", pa.int32()), ("votes", pa.int64()), ("bit_errors", pa.int64()), ("bits", pa.int64()), ("same", pa.bool_())])
-
-    def run(two: pa.Table, held: pa.Table) -> pa.Table:
-        known = {}
-        for node, raw in zip(held["node"].to_pylist(), held["ints"].to_pylist(), strict=True):
-            x = np.frombuffer(raw, "<u4")
-            known[node] = x, _by_hash(x)
-        out = []
-        for a, o in zip(two["id"].to_pylist(), two["other"].to_pylist(), strict=True):
-            (x, marks), (y, other_marks) = known[a], known[o]
-            out.append((a, o, *_compared(x, y, marks, other_marks)))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema) if out else schema.empty_table()
-
-    return tiled.groupBy("tile").cogroup(ints.groupBy("at")).applyInArrow(run, "id long, other long, shift int, votes long, bit_errors long, bits long, same boolean")
+    spark, sorts = held.sparkSession, _sorts(held)
+    dealt = _dealt(held, sorts).join(classes.select("node", "ints").hint("merge"), "node").select("tile", "own", "facing", "node", "ints")
+    tasks = min(sorts * (sorts + 1) // 2, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a number, as small tiles may be long work
+    schema = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("links", pa.int64()), ("other", pa.int64()), ("shift", pa.int32()), ("votes", pa.int64()), ("bit_errors", pa.int64()), ("bits", pa.int64()), ("same", pa.bool_())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("node")
+        own, facing = rows["own"].to_numpy(), rows["facing"].to_numpy()
+        return pa.table(Tile(rows["node"].to_numpy(), own, facing, [np.frombuffer(x, "<u4") for x in rows["ints"].to_pylist()]).summed(), schema=schema)
+
+    return dealt.repartition(tasks, "tile").groupBy("tile").applyInArrow(run, "node long, root long, links long, other long, shift int, votes long, bit_errors long, bits long, same boolean")
 
 
 def align(recordings: DataFrame, kind: str = "pcm8", rate: int = RATE, frame: int = FRAME, hop: int = HOP) -> DataFrame:
@@ -293,14 +413,14 @@ def align(recordings: DataFrame, kind: str = "pcm8", rate: int = RATE, frame: in
     marked = cuts.write(fingerprints(rows, kind, rate, frame, hop))
     classes = cuts.write(marked.groupBy("mark").agg(F.min("row").alias("node"), F.min("id").alias("class_id"), F.min("ints").alias("ints")))
     holders = cuts.write(_holders(classes))
-    pairs = cuts.write(_proposed(holders))
+    held = cuts.write(_shared(holders))
     cuts.drop(holders)
-    aligned = cuts.write(_aligned(pairs, classes))
-    cuts.drop(pairs)
-    roots = components(aligned.where("same").select(F.col("id").alias("a"), F.col("other").alias("b")), cuts)
-    best = aligned.groupBy("id").agg(F.max(F.struct("same", "votes", (-F.col("other")).alias("less"), "other", "shift", "bit_errors", "bits")).alias("x"))
-    best = best.select(F.col("id").alias("node"), "x.other", "x.shift", "x.votes", "x.bit_errors", "x.bits", "x.same")
-    linked = aligned.where("same").select(F.explode(F.array("id", "other")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    aligned = cuts.write(_aligned(held, classes))
+    cuts.drop(held)
+    roots = components(aligned.select(F.col("node").alias("a"), F.col("root").alias("b")), cuts)
+    best = aligned.where("other IS NOT NULL").groupBy("node").agg(F.max(F.struct("same", "votes", (-F.col("other")).alias("less"), "other", "shift", "bit_errors", "bits")).alias("x"))
+    best = best.select("node", "x.other", "x.shift", "x.votes", "x.bit_errors", "x.bits", "x.same")
+    linked = aligned.groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.select("mark", "node", "class_id").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = cuts.write(named.groupBy("root").agg(F.min("class_id").alias("group_id")))
     best = best.join(classes.select(F.col("node").alias("other"), F.col("class_id").alias("other_id")).hint("merge"), "other").drop("other").withColumnRenamed("other_id", "other")

@@ -158,6 +158,59 @@ def test_every_pair_that_shares_a_landmark_is_aligned(spark, monkeypatch):
     assert sum(x[4] for x in found.values()) > 20
 
 
+def test_links_need_no_row_for_each_pair(spark, monkeypatch):
+    """A large group of takes of one short tune: all links are counted, and no table on the way holds as many rows as there are pairs."""
+    sizes, write = [], common.Cuts.write
+    monkeypatch.setattr(common.Cuts, "write", lambda self, df: sizes.append((out := write(self, df)).count()) or out)
+    rng = np.random.default_rng(34)
+    base, n = tune(rng, 0.5), 130
+    takes = [base + 0.004 * rng.normal(size=len(base)) for _ in range(n)]
+    rows = [(k, (x * 9000).astype("<i2").tobytes()) for k, x in enumerate(takes)]
+    got = {r["id"]: r for r in chroma.align(spark.createDataFrame(rows, "id long, audio binary"), kind="pcm16").collect()}
+    ints = {k: chroma.fingerprint(a, "pcm16") for k, a in rows}
+    found = {(k, o): plain_alignment(ints[k], ints[o]) for k in ints for o in ints if o < k}
+    found = {p: x for p, x in found.items() if x}
+    links = {p for p, x in found.items() if x[4]}
+    assert len({r["mark"] for r in got.values()}) == n and len(links) > 0.9 * n * (n - 1) / 2
+    for k in ints:
+        assert got[k]["links"] == sum(k in p for p in links)
+        best = max(((x[4], x[1], -o, o, x) for (i, o), x in found.items() if i == k), default=None)
+        assert got[k]["other"] == (best and best[3]) and (not best or tuple(got[k][c] for c in ("shift", "votes", "bit_errors", "bits", "same")) == best[4])
+    assert max(sizes) < len(links) / 2
+
+
+def test_a_group_is_dealt_in_less_than_its_square(spark):
+    """Of 16 times the recordings, each goes to 4 times the tiles."""
+    held = lambda n: spark.range(n).select(F.lit(1).alias("landmark"), F.col("id").alias("node"), F.lit(n).alias("n"))
+    assert chroma._sorts(held(64_000)) / chroma._sorts(held(4_000)) == pytest.approx(4, rel=0.05)
+
+
+@pytest.mark.parametrize("at_once", [1, 300, 1 << 20])
+def test_a_tile_aligns_as_pairs_do(at_once, monkeypatch):
+    """Repeated places, runs of silence and recordings of many lengths, in one sort and in two, whatever is held at once."""
+    monkeypatch.setattr(chroma, "AT_ONCE", at_once)
+    monkeypatch.setattr(chroma, "MANY_MATCHES", 200)
+    rng = np.random.default_rng(35)
+    base = rng.integers(0, 1 << 31, 90).astype(np.uint32)
+    base[30:60] = base[:30]
+    ints = []
+    for k in range(24):
+        x = base[int(rng.integers(0, 40)) :].copy()
+        x[rng.random(len(x)) < 0.08] ^= np.uint32(1 << int(rng.integers(32)))
+        ints.append(np.concatenate([x, np.zeros(int(rng.integers(4, 30)) * (k % 4 == 0), np.uint32), rng.integers(0, 1 << 31, int(rng.integers(0, 60))).astype(np.uint32)]))
+    nodes = np.sort(rng.choice(1000, 24, replace=False)).astype(np.int64)
+    for own in (np.zeros(24, np.int32), (np.arange(24) % 3 == 0).astype(np.int32)):
+        facing = 1 - own if own.any() else own
+        got = chroma.Tile(nodes, own, facing, ints)
+        met = 0
+        for a in range(24):
+            want = {o: x for o in range(a) if own[o] == facing[a] and (x := plain_alignment(ints[a], ints[o]))}
+            found = got.aligned(a)
+            assert {int(o): (int(s), int(v), int(e), int(b), bool(y)) for o, s, v, e, b, y in zip(*found, strict=True)} == want if want else found is None
+            met += len(want)
+        assert met > 60
+
+
 def test_integral_image_sums(spark):
     rng = np.random.default_rng(3)
     rows = rng.random((40, 12))
